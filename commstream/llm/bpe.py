@@ -19,6 +19,7 @@ import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -309,7 +310,10 @@ def _encode(path: str, digests: bool):
                 ids, text = ([hashlib.sha256(x.encode()).hexdigest() for x in y] for y in (ids, text))
                 columns = [pa.array(ids, pa.string())]
             else:
-                columns = [pa.array([[int(v) for v in x.split()] for x in ids], pa.list_(pa.int32()))]
+                split = pc.split_pattern(pa.array(ids, pa.string()), " ")
+                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                values = split.flatten()
+                columns = [pa.ListArray.from_arrays(cuts, values.filter(pc.not_equal(values, "")).cast(pa.int32()))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns, pa.array(text, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 
     return run

@@ -54,7 +54,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3.0, 1.0, 2.0), share: fl
     """(doc_id, size, source_size, target, copies, taken), a row for each row of docs; taken = copies x size words.
 
     Only whole documents are taken, at most limit (an integer) times each. A source's words stay at or just below
-    its target: what is missing is less than any document left out. Null sources are one source, the last; null and
+    its target: each of ROUNDS rounds leaves less than the first document in its order that no longer fitted. Null sources are one source, the last; null and
     empty texts have size 0 and are never taken; null ids share one random number, and rows that repeat an id are
     ranked by size. Reruns agree whatever the partitions. An empty table gives an empty result.
     """

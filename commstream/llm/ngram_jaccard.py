@@ -70,29 +70,37 @@ def _often(k: int, num: int, den: int):
 
 
 def _rows(k: int, num: int, den: int, late):
-    """key, set size, set signature, parity bitmap, prefix: one row for each document."""
+    """key, set size, set signature, parity bitmap, prefix: one row for each document.
+
+    The bit h mod 2^w of a wide bitmap is the parity of the members h there; about two members share a bit. Halves
+    combined by XOR are the bitmap of half the width, and bits is the smallest.
+    """
 
     def run(batches):
         last = late.value
         for batch in tk.slices(batches):
-            n, s1, s2, bits, prefix = [], [], [], [], []
+            n, s1, s2, bits, wide, prefix = [], [], [], [], [], []
             for s in _sets(batch, k):
                 n.append(len(s))
                 s1.append(int(s.sum(dtype=np.uint64)))
                 s2.append(int(np.bitwise_xor.reduce(tk.mix(s + np.uint64(77)))) if len(s) else 0)
-                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
-                bits.append(np.packbits(odd.astype(np.uint8)).tobytes())
+                size = 64 * BITMAP_WORDS
+                while 2 * size < len(s):
+                    size *= 2
+                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) & (size - 1), minlength=size) & 1
+                wide.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                bits.append(np.bitwise_xor.reduce(wide[-1].reshape(-1, BITMAP_WORDS)))
                 if len(last) and len(s):
                     at = np.minimum(np.searchsorted(last, s), len(last) - 1)
                     often = last[at] == s
                     if often.any():
                         s = np.concatenate([s[~often], s[often]])
                 prefix.append(s[: _prefix(len(s), num, den)].view(np.int64))
-            lengths = np.concatenate([[0], np.cumsum([len(x) for x in prefix])]).astype(np.int32)
+            listed = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(v) for v in x])]).astype(np.int32)), pa.array(np.concatenate(x)))
             unsigned = lambda x: pa.array(np.array(x, np.uint64).view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(n, pa.int64()), unsigned(s1), unsigned(s2), pa.array(bits, pa.binary()), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(prefix)))],
-                names=["key", "n", "s1", "s2", "bits", "prefix"],
+                [batch.column(0), pa.array(n, pa.int64()), unsigned(s1), unsigned(s2), listed(bits), listed(wide), listed(prefix)],
+                names=["key", "n", "s1", "s2", "bits", "wide", "prefix"],
             )
 
     return run
@@ -117,7 +125,7 @@ def _block_pairs(num: int, den: int):
 
     def pairs(t: pa.Table):
         g, key, n, comp, blk, cross = (t.column(c).to_numpy() for c in ("g", "key", "n", "comp", "blk", "cross"))
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(-1, BITMAP_WORDS)
+        bits = t.column("bits").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, BITMAP_WORDS)
         d, rows = 1, np.arange(len(g))
         while len(rows := rows[rows + d < len(g)]) and len(rows := rows[g[rows] == g[rows + d]]):
             for part in np.array_split(rows, max(1, len(rows) // 200_000)):
@@ -164,7 +172,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     # At most FREQUENT_SHARE x 2 x the mean prefix length can be this frequent, whatever the number of documents.
     late = often.where(F.col("n") >= max(64, total // FREQUENT_SHARE)).select("h").toPandas()["h"].to_numpy(np.int64)
     held = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
-    rows = materialize(texts.mapInArrow(_rows(k, num, den, held), "key long, n long, s1 long, s2 long, bits binary, prefix array<long>"))
+    rows = materialize(texts.mapInArrow(_rows(k, num, den, held), "key long, n long, s1 long, s2 long, bits array<long>, wide array<long>, prefix array<long>"))
     sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
     member = materialize(rows.where("n > 0").select("key", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).select("key", "n", "rep"))
     reps = rows.where("n > 0").join(member.where("key = rep").select("key", "n").distinct(), ["key", "n"], "left_semi")
@@ -173,25 +181,28 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     column = incidence.groupBy("h").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top").select("h", "hub")
     cells = materialize(incidence.join(materialize(column), "h").select("h", "key", "n", "hub"))
 
-    bounded = lambda df: df.where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
-    size = materialize(cells.select("key", "n").distinct())
-    other = size.select(F.col("key").alias("hub"), F.col("n").alias("m"))
-    # The same pair comes from most of its shared columns: the count is its overlap within the prefixes.
-    pairs = bounded(cells.where("key <> hub").groupBy("key", "hub", "n").agg(F.count("*").alias("shared")).join(other, "hub")).select(F.col("hub").alias("a"), F.col("key").alias("b"))
-    done = materialize(pairs)
+    known = rows.where("n > 0").select("key", "n", "wide").dropDuplicates(["key", "n"])
 
-    items = None
+    def halved(x):
+        half = (F.size(x) / 2).cast("int")
+        return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
     def overlaps(pairs: DataFrame) -> DataFrame:
-        left = items.select(F.col("key").alias("a"), F.col("items").alias("x"))
-        right = items.select(F.col("key").alias("b"), F.col("items").alias("y"))
-        counted = pairs.join(left, "a").join(right, "b").select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("o"), (F.size("x") + F.size("y")).cast("long").alias("s"))
+        """Those of the pairs that link. Sizes and bitmaps bound the overlap first; only what is left is counted."""
+        left, right = known.toDF("a", "n", "x"), known.toDF("b", "m", "y")
+        x, y = (F.when(F.size(x) > F.size(y), halved(x)).otherwise(F.col(x)) for x, y in (("x", "y"), ("y", "x")))
+        apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+        may = pairs.join(left, "a").join(right, "b").where(f"least(n, m) * {den} >= greatest(n, m) * {num}").where(apart * (den + num) <= (F.col("n") + F.col("m")) * (den - num))
+        may = materialize(may.select("a", "b").distinct())
+        wanted = materialize(may.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
+        items = materialize(texts.join(wanted, "key", "left_semi").mapInArrow(_whole_sets(k), "key long, items array<long>").dropDuplicates(["key", "items"]))
+        counted = may.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
+        counted = counted.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("o"), (F.size("x") + F.size("y")).cast("long").alias("s"))
         return counted.where(f"o * {den} >= (s - o) * {num}").select("a", "b")
 
-    wanted = size.select("key").distinct()
-    few = wanted.count() <= BROADCAST_KEYS
-    items = materialize(texts.join(F.broadcast(wanted) if few else wanted, "key", "left_semi").mapInArrow(_whole_sets(k), "key long, items array<long>").dropDuplicates(["key", "items"]))
-
+    # Most pairs come from many of their shared columns.
+    done = materialize(cells.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
     links = materialize(overlaps(done))
     comps = materialize(connected_components(links))
 
@@ -206,7 +217,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         if left.isEmpty():
             break
         hub = left.groupBy("h").agg(F.min_by(F.struct("key", "comp", F.col("n").alias("m")), F.xxhash64(F.lit(r), "h", "key")).alias("hub"))
-        tried = bounded(left.join(hub.select("h", "hub.key", "hub.comp", "hub.m").toDF("h", "hub", "hub_comp", "m"), "h").where("comp <> hub_comp"))
+        tried = left.join(hub.select("h", "hub.key", "hub.comp", "hub.m").toDF("h", "hub", "hub_comp", "m"), "h").where("comp <> hub_comp").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
         pairs = tried.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(pairs)
@@ -217,7 +228,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
     dealt = left.withColumn("blocks", count).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(rows.select("key", "n", "bits").dropDuplicates(["key", "n"]), ["key", "n"])
+    dealt = dealt.join(rows.where("n > 0").select("key", "n", "bits").dropDuplicates(["key", "n"]), ["key", "n"])
     # The group of blocks i < j holds both blocks; the group of block i alone holds it once.
     group = F.xxhash64("h", F.least("blk", "to"), F.greatest("blk", "to")).alias("g")
     shaped = dealt.select(group, "key", "n", "comp", F.col("blk").cast("long").alias("blk"), (F.col("blk") != F.col("to")).alias("cross"), "bits")

@@ -2,7 +2,9 @@
 
 The reference is the corpus itself, in order of id, cut into blocks of one document. Its index has two levels:
 anchors (the smallest 8-word hash in each 20-word window, about one word in seven) find which windows can repeat at
-all, and an index of those windows gives each its first place. A document is then factored greedily from left to
+all. Consecutive windows with one anchor are a chunk, of 32 words at most: an index of chunks gives each its first
+place, and an index of the windows in first copies of chunks gives those theirs. (The first copy of a window lies in
+the first copy of a chunk, since any other copy of that chunk would hold an earlier one.) A document is then factored greedily from left to
 right: at a window with an earlier copy, the factor runs on for as long as the copy runs on at the same place of the
 reference. Factors of window length or more are duplicate spans; windows that begin in a factor's last words and
 have their copy elsewhere are looked up again, so no repeat across a factor's boundary is missed. The spans together
@@ -42,9 +44,23 @@ def _bounds(first: np.ndarray, window: int) -> list[tuple[int, int]]:
     return list(zip(first[:-1].tolist(), np.maximum(first[:-1], first[1:] - window + 1).tolist(), strict=True))
 
 
+def _starts(low: np.ndarray, grams: np.ndarray, window: int) -> np.ndarray:
+    """Whether a window's anchor stands at another place than that of the window before."""
+    wide = window - GRAM + 1
+    at = np.zeros(len(low), np.int8)
+    for o in range(wide - 1, -1, -1):
+        np.copyto(at, np.int8(o), where=grams[o : o + len(low)] == low)
+    at = at + np.arange(len(low))
+    return np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+
+
+def _span(first: np.ndarray, last: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """A hash of n consecutive windows whose first and last overlap or meet, so that these two give all words."""
+    return np.where(n == 1, first, tk.mix(first * np.uint64(2) + last + n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+
+
 def _anchors(window: int):
     """key and its anchors, each as often as it stands at another place of the document."""
-    wide = window - GRAM + 1
 
     def run(batches):
         for batch in tk.slices(batches):
@@ -52,11 +68,7 @@ def _anchors(window: int):
             starts, ends, first = tk.word_spans(data, offsets)
             words = tk.word_hashes(data, starts, ends)
             _, low, grams = _windows(words, window)
-            at = np.zeros(len(low), np.int8)
-            for o in range(wide - 1, -1, -1):
-                np.copyto(at, np.int8(o), where=grams[o : o + len(low)] == low)
-            at = at + np.arange(len(low))
-            new = np.concatenate([[True], at[1:] != at[:-1]]) if len(at) else np.zeros(0, bool)
+            new = _starts(low, grams, window)
             low, out = low.view(np.int64), []
             for a, b in _bounds(first, window):
                 if b > a:
@@ -69,25 +81,36 @@ def _anchors(window: int):
 
 
 def _may_repeat(window: int):
-    """h, key, pos of every window whose anchor stands in the document's list."""
+    """chunk (its hash), key, pos and the hashes of its windows, for chunks whose anchor stands in the document's list."""
 
     def run(batches):
         for batch in tk.slices(batches):
             data, offsets = tk.text_bytes(batch.column(1))
             starts, ends, first = tk.word_spans(data, offsets)
-            whole, low, _ = _windows(tk.word_hashes(data, starts, ends), window)
-            whole, keys = whole.view(np.int64), batch.column(0).to_numpy()
-            own = batch.column(2)
+            whole, low, grams = _windows(tk.word_hashes(data, starts, ends), window)
+            new, keys, own = _starts(low, grams, window), batch.column(0).to_numpy(), batch.column(2)
             listed, cuts = np.asarray(own.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
-            h, key, pos = [], [], []
+            heads, tails, key, pos = [], [], [], []
             for i, (a, b) in enumerate(_bounds(first, window)):
-                mine = np.sort(listed[cuts[i] : cuts[i + 1]])
-                near = np.minimum(np.searchsorted(mine, low[a:b]), len(mine) - 1)
-                at = np.flatnonzero(mine[near] == low[a:b])
-                h.append(whole[a:b][at])
-                pos.append(at)
-                key.append(np.full(len(at), keys[i], np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(h)), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos).astype(np.int32))], names=["h", "key", "pos"])
+                if a == b:
+                    continue
+                new[a] = True
+                mine, head = np.sort(listed[cuts[i] : cuts[i + 1]]), a + np.flatnonzero(new[a:b])
+                tail, near = np.append(head[1:], b), np.minimum(np.searchsorted(mine, low[head]), len(mine) - 1)
+                again = mine[near] == low[head]
+                heads.append(head[again])
+                tails.append(tail[again])
+                pos.append(head[again] - a)
+                key.append(np.full(int(again.sum()), keys[i], np.int64))
+            if not heads:
+                continue
+            head, tail = np.concatenate(heads), np.concatenate(tails)
+            n, raw = tail - head, whole.view(np.int64)
+            ends_at = np.concatenate([[0], np.cumsum(n)])
+            held = raw[np.repeat(head - ends_at[:-1], n) + np.arange(ends_at[-1])]
+            hashes = pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(held))
+            chunk = _span(whole[head], whole[tail - 1], n).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos).astype(np.int32)), hashes], names=["chunk", "key", "pos", "hashes"])
 
     return run
 
@@ -112,21 +135,24 @@ def _remove(window: int, keep_text: bool):
             data, offsets = tk.text_bytes(batch.column(1))
             starts, ends, first = tk.word_spans(data, offsets)
             raw = data.tobytes()
-            every = tk.run_hashes(tk.word_hashes(data, starts, ends), window).view(np.int64)
+            every = tk.run_hashes(tk.word_hashes(data, starts, ends), window)
             found, out = batch.column(2), {"key": batch.column(0), "n_words": [], "n_removed": [], "n_factors": [], "spans": [], "kept": []}
             for i in range(batch.num_rows):
                 lo, hi = int(first[i]), int(first[i + 1])
                 gone, factors = np.zeros(hi - lo + 1, np.int64), []
                 if found[i].is_valid and len(found[i]):
                     rows = found[i].values
-                    h, pos, ref, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("h", "pos", "ref", "at"))
+                    h, pos, n, ref, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("h", "pos", "n", "ref", "at"))
                     whole = every[lo : max(lo, hi - window + 1)]
                     order = np.argsort(pos, kind="stable")
-                    order = order[pos[order] < len(whole)]
-                    order = order[whole[pos[order]] == h[order]]
-                    pos = pos[order]
+                    order = order[pos[order] + n[order] <= len(whole)]
+                    order = order[_span(whole[pos[order]], whole[pos[order] + n[order] - 1], n[order]).view(np.int64) == h[order]]
+                    step = np.arange(n[order].sum()) - np.repeat(np.cumsum(n[order]) - n[order], n[order])
+                    pos, ref, at = np.repeat(pos[order], n[order]) + step, np.repeat(ref[order], n[order]), np.repeat(at[order], n[order]) + step
+                    resort = np.argsort(pos, kind="stable")
+                    pos, ref, at = pos[resort], ref[resort], at[resort]
                     once = np.concatenate([[True], pos[1:] != pos[:-1]]) if len(pos) else np.zeros(0, bool)
-                    factors = parse(pos[once], ref[order][once], at[order][once], window)
+                    factors = parse(pos[once], ref[once], at[once], window)
                     for start, length in factors:
                         gone[start] += 1
                         gone[start + length] -= 1
@@ -159,9 +185,17 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     anchors = listed.select("key", F.explode("anchors").alias("anchor"))
     again = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
     own = anchors.join(again, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    rows = materialize(texts.join(own, "key").mapInArrow(_may_repeat(window), "h long, key long, pos int"))
-    place = materialize(rows.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("h", "ref"))
-    later = rows.join(place, "h").where(F.struct("key", "pos") > F.col("ref")).select("key", F.struct("h", "pos", F.col("ref.key").alias("ref"), F.col("ref.pos").alias("at")).alias("row"))
+    chunks = materialize(texts.join(own, "key").mapInArrow(_may_repeat(window), "chunk long, key long, pos int, hashes array<long>"))
+    place = chunks.groupBy("chunk").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("chunk", "ref")
+    placed = chunks.join(materialize(place), "chunk", "left")
+    copied = F.coalesce(F.struct("key", "pos") > F.col("ref"), F.lit(False))
+    # A later copy of a chunk needs its place alone; the first one its windows.
+    placed = materialize(placed.select("chunk", "key", "pos", F.size("hashes").alias("n"), F.when(copied, F.col("ref")).alias("ref"), F.when(~copied, F.col("hashes")).alias("hashes")))
+    rows = placed.where("ref is null").select("key", "pos", F.posexplode("hashes").alias("o", "h")).select("h", "key", (F.col("pos") + F.col("o")).alias("pos"))
+    place = rows.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("h", "ref")
+    windows = rows.join(materialize(place), "h").where(F.struct("key", "pos") > F.col("ref")).withColumn("n", F.lit(1))
+    later = placed.where("ref is not null").select(F.col("chunk").alias("h"), "key", "pos", "ref", "n").unionByName(windows.select("h", "key", "pos", "ref", "n"))
+    later = later.select("key", F.struct("h", "pos", "n", F.col("ref.key").alias("ref"), F.col("ref.pos").alias("at")).alias("row"))
     found = later.groupBy("key").agg(F.collect_list("row").alias("rows"))
     done = texts.join(found, "key", "left").mapInArrow(_remove(window, keep_text), "key long, n_words long, n_removed long, n_factors long, spans string, kept string")
     return done.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias(id_col), "n_words", "n_removed", "n_factors", "spans", "kept")

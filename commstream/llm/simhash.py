@@ -112,37 +112,42 @@ def _next_ids(ids: DataFrame) -> DataFrame:
     return inner.join(F.broadcast(chained), "part").select("key", F.coalesce("after", "following").alias("after"))
 
 
+def _heads(batches):
+    """What the document before needs of each text: its head and its fingerprint."""
+    for batch in tk.slices(batches):
+        texts = batch.column(1).to_pylist()
+        heads = [t[:n] for t, n in zip(texts, batch.column(2).to_pylist(), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(heads, pa.string()), pa.array(fingerprints([t.encode() for t in texts]), pa.binary())], names=["key", "head", "next"])
+
+
 def _edited(batches):
-    """Fingerprints of a text, of the text with its tail replaced by the next text's head, and of the next text."""
+    """Fingerprints of a text and of the text with its tail replaced by the next text's head; likeness to that and to the next text's."""
     for batch in tk.slices(batches):
-        columns: dict[str, list] = {c: [] for c in ("key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited")}
+        columns: dict[str, list] = {c: [] for c in ("key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")}
         texts = [t or "" for t in batch.column(1).to_pylist()]
         edited = []
         for text, head in zip(texts, batch.column(2).to_pylist(), strict=True):
             cut = len(text) // 4
             edited.append(text[: len(text) - cut] + (head or "")[:cut])
-        for key, text, new, a, b in zip(batch.column(0).to_pylist(), texts, edited, fingerprints([t.encode() for t in texts]), fingerprints([t.encode() for t in edited]), strict=True):
-            for c, v in zip(columns, (key, len(text), hashlib.sha256(new.encode()).hexdigest(), a.hex(), b.hex(), likeness(a, b)), strict=True):
+        for key, text, new, after, a, b in zip(batch.column(0).to_pylist(), texts, edited, batch.column(3).to_pylist(), fingerprints([t.encode() for t in texts]), fingerprints([t.encode() for t in edited]), strict=True):
+            for c, v in zip(columns, (key, len(text), hashlib.sha256(new.encode()).hexdigest(), a.hex(), b.hex(), likeness(a, b), likeness(a, after)), strict=True):
                 columns[c].append(v)
-        kinds = {"key": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64()}
+        kinds = {"key": pa.int64(), "n_chars": pa.int64(), "near_edited": pa.float64(), "near_next": pa.float64()}
         yield pa.RecordBatch.from_arrays([pa.array(v, kinds.get(c, pa.string())) for c, v in columns.items()], names=list(columns))
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    """Fingerprints of all documents and of their edited texts, and their likeness to each other and to the next document's."""
+    """Fingerprints of all documents and of their edited texts, and their likeness to each other and to the next document's.
+
+    Each text is shuffled once, by its id, and its head once more to the document before. Of rows with one id the
+    smallest head stands for that id as a next document; rows without an id come first, as one id.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = materialize(_next_ids(texts.select("key")))
     sizes = texts.select("key", F.length("text").alias("n")).groupBy("key").agg((F.max("n") / 4).cast("int").alias("need"))
-    # What the previous document of each one needs of its head; of rows with one id the smallest text stands for it.
     needs = order.join(sizes, "key").select(F.col("key").alias("before"), F.col("after").alias("key"), "need")
-    heads = texts.join(needs, "key").select(F.col("before").alias("key"), F.expr("substring(text, 1, need)").alias("head"))
-    heads = heads.groupBy("key").agg(F.min("head").alias("head"))
-    made = texts.join(heads, "key", "left").select("key", "text", "head").mapInArrow(_edited, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double")
-    made = materialize(made)
-    following = order.join(made.groupBy("key").agg(F.min("fingerprint").alias("next_fingerprint")).withColumnRenamed("key", "after"), "after").select("key", "next_fingerprint")
-    pieces = [(1, 15), (16, 15), (31, 2)]
-    value = lambda c, a, n: F.conv(F.substring(c, a, n), 16, 10).cast("long")
-    apart = sum((F.bit_count(value("fingerprint", a, n).bitwiseXOR(value("next_fingerprint", a, n))) for a, n in pieces), F.lit(0))
-    out = made.join(following, "key").withColumn("near_next", 1 - apart / F.lit(float(BITS)))
-    return out.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    heads = texts.join(needs, "key").select(F.col("before").alias("key"), "text", "need").mapInArrow(_heads, "key long, head string, next binary")
+    heads = heads.groupBy("key").agg(F.min(F.struct("head", "next")).alias("x")).select("key", "x.head", "x.next")
+    made = texts.join(heads, "key").select("key", "text", "head", "next").mapInArrow(_edited, "key long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return made.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), *made.columns[1:])

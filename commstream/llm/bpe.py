@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from commstream.llm import textkit as tk
 
-CACHE_CHUNKS = 450_000
-RECURRING_CHUNKS = 250_000
+CACHE_CHUNKS = 200_000
+RECURRING_CHUNKS = 110_000
 BATCH_WIDTHS = (4, 8, 16, 32)
 NONE = np.int64(1 << 62)
 
@@ -251,6 +251,10 @@ class Bpe:
             self.blank |= not own
             at = to
 
+    def forget(self) -> None:
+        """Empty the table of chunks; Spark keeps a worker process, and what it holds, for later stages."""
+        self.ids_of, self.decoded_of, self.recurring = {}, {}, set()
+
     def encode_texts(self, texts: list[str | None]) -> list[tuple[str, int, str]]:
         """For each text its ids as decimal numbers joined by a space, their number, and the decoded text."""
         out, todo, held = [], [], set()
@@ -303,18 +307,22 @@ def load(path: str) -> Bpe:
 def _encode(path: str, digests: bool):
     def run(batches):
         bpe = load(path)
-        for batch in tk.slices(batches, limit=4 << 20):
-            done = bpe.encode_texts(batch.column(1).to_pylist())
-            ids, n, text = ([x[i] for x in done] for i in range(3))
-            if digests:
-                ids, text = ([hashlib.sha256(x.encode()).hexdigest() for x in y] for y in (ids, text))
-                columns = [pa.array(ids, pa.string())]
-            else:
-                split = pc.split_pattern(pa.array(ids, pa.string()), " ")
-                cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-                values = split.flatten()
-                columns = [pa.ListArray.from_arrays(cuts, values.filter(pc.not_equal(values, "")).cast(pa.int32()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns, pa.array(text, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+        try:
+            for batch in tk.slices(batches, limit=4 << 20):
+                done = bpe.encode_texts(batch.column(1).to_pylist())
+                ids, n, text = ([x[i] for x in done] for i in range(3))
+                if digests:
+                    ids, text = ([hashlib.sha256(x.encode()).hexdigest() for x in y] for y in (ids, text))
+                    columns = [pa.array(ids, pa.string())]
+                else:
+                    split = pc.split_pattern(pa.array(ids, pa.string()), " ")
+                    cuts = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
+                    values = split.flatten()
+                    columns = [pa.ListArray.from_arrays(cuts, values.filter(pc.not_equal(values, "")).cast(pa.int32()))]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), *columns, pa.array(text, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
+        finally:
+            bpe.forget()
+            tk.release_memory()
 
     return run
 

@@ -169,7 +169,7 @@ def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float, text_c
             lang, score = _languages(model, joined, batch.column(at))
             yield batch.filter(pa.array((np.array(lang) != UNDETERMINED) & (score >= least)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tk.released(run), docs.schema)
 
 
 def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,7 +179,7 @@ def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", tex
     where there is no model, are `und` with score 0. Null and repeated ids pass through, extra columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return texts.mapInArrow(_predict(model), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tk.released(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
 def held_out(key, modulus: int, remainder: int) -> F.Column:

@@ -167,12 +167,12 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    often = texts.mapInArrow(_often(k, num, den), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    often = texts.mapInArrow(tk.released(_often(k, num, den)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
     total = texts.count()
     # At most FREQUENT_SHARE x 2 x the mean prefix length can be this frequent, whatever the number of documents.
     late = often.where(F.col("n") >= max(64, total // FREQUENT_SHARE)).select("h").toPandas()["h"].to_numpy(np.int64)
     held = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
-    rows = materialize(texts.mapInArrow(_rows(k, num, den, held), "key long, n long, s1 long, s2 long, bits array<long>, wide array<long>, prefix array<long>"))
+    rows = materialize(texts.mapInArrow(tk.released(_rows(k, num, den, held)), "key long, n long, s1 long, s2 long, bits array<long>, wide array<long>, prefix array<long>"))
     sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
     member = materialize(rows.where("n > 0").select("key", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).select("key", "n", "rep"))
     reps = rows.where("n > 0").join(member.where("key = rep").select("key", "n").distinct(), ["key", "n"], "left_semi")
@@ -196,7 +196,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         may = materialize(may.select("a", "b").distinct())
         wanted = materialize(may.select(F.explode(F.array("a", "b")).alias("key")).distinct())
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-        items = materialize(texts.join(wanted, "key", "left_semi").mapInArrow(_whole_sets(k), "key long, items array<long>").dropDuplicates(["key", "items"]))
+        items = materialize(texts.join(wanted, "key", "left_semi").mapInArrow(tk.released(_whole_sets(k)), "key long, items array<long>").dropDuplicates(["key", "items"]))
         counted = may.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
         counted = counted.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("o"), (F.size("x") + F.size("y")).cast("long").alias("s"))
         return counted.where(f"o * {den} >= (s - o) * {num}").select("a", "b")
@@ -233,7 +233,7 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     group = F.xxhash64("h", F.least("blk", "to"), F.greatest("blk", "to")).alias("g")
     shaped = dealt.select(group, "key", "n", "comp", F.col("blk").cast("long").alias("blk"), (F.col("blk") != F.col("to")).alias("cross"), "bits")
     if not left.isEmpty():
-        rest = shaped.repartition("g").sortWithinPartitions("g", "n").mapInArrow(_block_pairs(num, den), "a long, b long").distinct()
+        rest = shaped.repartition("g").sortWithinPartitions("g", "n").mapInArrow(tk.released(_block_pairs(num, den)), "a long, b long").distinct()
         links = links.unionByName(materialize(overlaps(materialize(rest.join(done, ["a", "b"], "left_anti")))))
         comps = connected_components(links)
     placed = member.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))

@@ -51,6 +51,18 @@ def release_memory() -> None:
         trim(0)
 
 
+def released(run):
+    """run, with release_memory() when its task ends."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return whole
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts hold at most limit bytes; a longer text stands alone."""
     for batch in batches:

@@ -175,3 +175,30 @@ def test_fingerprints_and_tables(spark):
         for b in value:
             if (value[a] ^ value[b]).bit_count() <= 3:
                 assert near[a] == near[b]
+
+
+@pytest.mark.parametrize("most", [2048, 7])
+def test_near_fingerprints_against_brute_force(spark, most):
+    rng, values = random.Random(6), []
+    for _ in range(12):
+        base = rng.getrandbits(128)
+        for _ in range(20):
+            values.append(base ^ sum(1 << b for b in rng.sample(range(128), rng.choice([0, 1, 6, 9, 12, 20]))))
+    prints = spark.createDataFrame([(i, f"{v:032x}") for i, v in enumerate(values)], "doc_id long, fingerprint string")
+    near = {r["doc_id"]: r["component_id"] for r in simhash.near_fingerprints(prints, most=most).collect()}
+    root = list(range(len(values)))
+    for a in range(len(values)):
+        for b in range(a):
+            if (values[a] ^ values[b]).bit_count() <= 16 and root[a] != root[b]:
+                lo, hi = sorted((root[a], root[b]))
+                root = [lo if x == hi else x for x in root]
+    assert [near[i] for i in range(len(values))] == root
+
+
+def test_simhash_query_finds_near_copies_of_all_documents(spark, tmp_path):
+    base = words(400).split()
+    texts = [(1, " ".join(base)), (2, words(400, 1)), (3, " ".join(base[:200] + ["other"] + base[201:])), (4, words(400, 1)), (5, words(400, 2)), (-1, " ".join(base))]
+    frame(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
+    out = {r["doc_id"]: r for r in simhash.op10_simhash(spark, str(tmp_path)).collect()}
+    assert {i: r["component_id"] for i, r in out.items()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, None: 1}
+    assert {i: r["class_id"] for i, r in out.items()} == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5, None: 1}

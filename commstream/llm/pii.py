@@ -3,8 +3,9 @@
 The nodes of a document's field are candidate segments: what the base patterns match, other number runs of 7 to 19
 digits, other tokens with an at sign (written out too), and user names that an address of the document begins with.
 Neighbours up to CHAIN_CHARS apart share a chain potential, and mentions of the same thing anywhere in the document
-(the same last eight digits, the same user name) share a skip potential, each mention with the one before. Loopy
-sum-product messages over both kinds of edges give marginals; a candidate that is no base match becomes a span where
+(the same last eight digits, the same user name) share a skip potential, each mention with a base match or, where
+there is none, with the mention before. Loopy sum-product messages over both kinds of edges, sent until they change no more (or ROUNDS and four
+for each node, for loops that do not settle), give marginals; a candidate that is no base match becomes a span where
 the marginal of a kind reaches THRESHOLD. So a number written once with its country code marks its later mention
 without it, while the same number alone stays unmarked.
 
@@ -30,6 +31,7 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 CHAIN_CHARS = 40
 ROUNDS = 12
+SETTLED = 1e-4
 THRESHOLD = 0.8
 TRAIN_DOCUMENTS = 1500
 
@@ -83,6 +85,47 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda x: (x[0], x[2]))
 
 
+def number_pieces(text: str, start: int, end: int, tails: set[str]) -> list[tuple[int, int]]:
+    """The run itself where it has 7 to 19 digits. A longer one is cut between its groups of digits: what ends a base
+    match (tails) is a piece, and the groups between such pieces are taken together up to 19 digits."""
+    groups = [(start + m.start(), start + m.end()) for m in re.finditer("[0-9]+", text[start:end])]
+    if sum(b - a for a, b in groups) <= 19:
+        return [(start, end)] if sum(b - a for a, b in groups) >= 7 else []
+
+    def known(i: int) -> int:
+        """The group after the longest piece from group i that ends a base match, or i."""
+        digits, best = "", i
+        for j in range(i, len(groups)):
+            digits += text[slice(*groups[j])]
+            if len(digits) > 19:
+                break
+            if digits in tails:
+                best = j + 1
+        return best
+
+    pieces, rest, i = [], [], 0
+    for i in range(len(groups) + 1):
+        if pieces and i < pieces[-1][1]:
+            continue
+        after = known(i) if i < len(groups) else i
+        full = i == len(groups) or sum(b - a for a, b in groups[i : i + 1] + [groups[x] for x in rest]) > 19
+        if rest and (after > i or full):
+            pieces.append((rest[0], i))
+            rest = []
+        if after > i:
+            pieces.append((i, after))
+        elif i < len(groups):
+            rest.append(i)
+    found = []
+    for i, j in pieces:
+        a, b = groups[i][0], groups[j - 1][1]
+        if 7 <= len(_digits(text[a:b])) <= 19:
+            while a > start and text[a - 1] in "(+":
+                a -= 1
+            found.append((a, b))
+    return found
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """(start, end, base kind or -1): the nodes. A segment that overlaps a base span is left to it."""
     taken = sorted((a, b) for a, b, _ in base)
@@ -97,9 +140,10 @@ def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, i
         if not at or longest[at - 1] <= a:
             found.append((a, b, -1))
 
+    tails = {d[i:] for a, b, k in base if k > 0 for d in [_digits(text[a:b])] for i in range(len(d) - 7)}
     for m in _NUMBERS.finditer(text):
-        if 7 <= len(_digits(m.group())) <= 19:
-            add(*m.span())
+        for a, b in number_pieces(text, *m.span(), tails):
+            add(a, b)
     if "@" in text or "at)" in text or "at]" in text:
         for m in _AT.finditer(text):
             add(*m.span())
@@ -155,14 +199,23 @@ def features(text: str, node: tuple[int, int, int]) -> np.ndarray:
 
 
 def edges(text: str, nodes: list[tuple[int, int, int]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """Chain edges between close neighbours and skip edges from each mention to the one before it."""
+    """Chain edges between close neighbours, and a skip edge from each mention to a base match of the same key.
+
+    That is the last one before the mention, or the first one after it if there is none before; so evidence does not
+    fade with the number of mentions between. Where a key has no base match, the edge goes to the mention before.
+    """
     chain = [(i, i + 1) for i in range(len(nodes) - 1) if nodes[i + 1][0] - nodes[i][1] <= CHAIN_CHARS]
+    keys = [skip_key(text[a:b]) for a, b, _ in nodes]
     skip, last = [], {}
-    for i, (a, b, _) in enumerate(nodes):
-        key = skip_key(text[a:b])
-        if key in last:
-            skip.append((last[key], i))
-        last[key] = i
+    sure = {key: i for i, (key, node) in reversed(list(enumerate(zip(keys, nodes, strict=True)))) if node[2] >= 0}
+    for i, (key, (_, _, kind)) in enumerate(zip(keys, nodes, strict=True)):
+        other = last.get(key) if kind >= 0 else sure.get(key, last.get(key))
+        if other is not None and (kind < 0 or nodes[other][2] >= 0):
+            skip.append((min(i, other), max(i, other)))
+        if kind >= 0:
+            sure[key] = i
+        if kind >= 0 or key not in sure:
+            last[key] = i
     return chain, skip
 
 
@@ -248,7 +301,7 @@ def marginals(text: str, nodes: list[tuple[int, int, int]], weights: tuple | Non
     z = np.array([features(text, node) for node in nodes]) @ w
     for i, (_, _, kind) in enumerate(nodes):
         if kind >= 0:
-            z[i] = -30
+            z[i] = -1e9  # more than the messages of any number of mentions add up to
             z[i, kind + 1] = 0
     chain, skip = edges(text, nodes)
     pairs = np.array(chain + skip, np.int64).reshape(-1, 2)
@@ -257,13 +310,16 @@ def marginals(text: str, nodes: list[tuple[int, int, int]], weights: tuple | Non
     tables = np.concatenate([tables, tables])  # symmetric
     back = (np.arange(len(src)) + len(pairs)) % max(1, len(src))
     log = np.zeros((len(src), z.shape[1]))
-    for _ in range(ROUNDS if len(src) else 0):
+    for _ in range(ROUNDS + 4 * len(nodes) if len(src) else 0):
         total = z.copy()
         np.add.at(total, dst, log)
         belief = total[src] - log[back]
         out = np.einsum("el,elm->em", np.exp(belief - belief.max(1, keepdims=True)), tables)
         new = np.log(out / out.sum(1, keepdims=True))
+        still = np.abs(new - log).max() < SETTLED
         log = 0.5 * log + 0.5 * new
+        if still:
+            break
     np.add.at(z, dst, log)
     p = np.exp(z - z.max(1, keepdims=True))
     return p / p.sum(1, keepdims=True)

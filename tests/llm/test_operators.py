@@ -202,3 +202,17 @@ def test_simhash_query_finds_near_copies_of_all_documents(spark, tmp_path):
     out = {r["doc_id"]: r for r in simhash.op10_simhash(spark, str(tmp_path)).collect()}
     assert {i: r["component_id"] for i, r in out.items()} == {1: 1, 2: 2, 3: 1, 4: 2, 5: 5, None: 1}
     assert {i: r["class_id"] for i, r in out.items()} == {1: 1, 2: 2, 3: 3, 4: 2, 5: 5, None: 1}
+
+
+def test_pii_evidence_reaches_all_mentions_of_a_long_document():
+    gap = " and then some more words follow here until the number is told again, "
+    text = "call +1 (724) 555-7058" + gap + gap.join(["(724) 555-7058"] * 100)
+    assert [k for _, _, k in pii.find(text)[1]] == [3] * 101
+    assert "555" not in pii.mask(gap.join(["(724) 555-7058"] * 100) + gap + "call +1 (724) 555-7058")
+
+
+def test_pii_long_runs_are_cut_at_known_numbers():
+    text = "call +1 (724) 555-7058 or any of these: 724 555 7058 724 555 7058 (724) 555-7058 11 22"
+    found = pii.find(text)[1]
+    assert [text[a:b] for a, b, _ in found] == ["+1 (724) 555-7058", "724 555 7058", "724 555 7058", "(724) 555-7058"]
+    assert pii.number_pieces("1234 5678 9012 3456 7890 1234", 0, 29, set()) == [(0, 19), (20, 29)]

@@ -18,6 +18,10 @@ class BackendUnavailable(CommstreamError):
     """Storage or acceleration that was asked for and cannot be had."""
 
 
+class NotSettled(CommstreamError):
+    """A bound on rounds that the user set cut a phase short."""
+
+
 class Mode(str, Enum):
     DETERMINISTIC = "deterministic"
     THROUGHPUT = "throughput"
@@ -36,21 +40,22 @@ class Source(str, Enum):
 
 @dataclass(frozen=True)
 class RunConfig:
-    """gamma is gamma_num / gamma_den, exact. max_iterations bounds the rounds of one movement phase."""
+    """gamma is gamma_num / gamma_den, exact. max_iterations bounds the rounds of one movement or
+    merging phase, None does not; NotSettled is raised where it cuts one short."""
 
     mode: Mode = Mode.DETERMINISTIC
     source: Source = Source.FILE
     storage: Storage = Storage.IN_MEMORY
     accelerated: bool = False
     quality_tolerance: float = 0.001
-    max_iterations: int = 100
+    max_iterations: int | None = None
     levels: int = 10
     gamma_num: int = 1
     gamma_den: int = 1
     pinned_profile: str | None = None
 
     def checked(self) -> RunConfig:
-        if self.max_iterations <= 0 or self.levels <= 0:
+        if (self.max_iterations is not None and self.max_iterations <= 0) or self.levels <= 0:
             raise InvalidInput("max_iterations and levels must be positive")
         if not self.quality_tolerance >= 0:
             raise InvalidInput("quality_tolerance must not be negative")

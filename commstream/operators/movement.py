@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commstream.config import Mode
+from commstream.config import Mode, NotSettled
 from commstream.functions.gain import gain_numerator
 from commstream.operators.graph import community_degrees
 from commstream.storage import materialize
@@ -90,19 +90,21 @@ def quality_numerator(edges: DataFrame, degree: DataFrame, mapping: DataFrame, m
     return den * m2 * int(inside) - num * int(squares)
 
 
-def move(edges: DataFrame, adj: DataFrame, degree: DataFrame, mapping: DataFrame, m2: int, active: DataFrame | None = None, mode: Mode = Mode.DETERMINISTIC, rounds: int = 100, num: int = 1, den: int = 1, full: bool = False) -> tuple[DataFrame, DataFrame, int]:
+def move(edges: DataFrame, adj: DataFrame, degree: DataFrame, mapping: DataFrame, m2: int, active: DataFrame | None = None, mode: Mode = Mode.DETERMINISTIC, rounds: int | None = None, num: int = 1, den: int = 1, full: bool = False, strict: bool = False) -> tuple[DataFrame, DataFrame, int]:
     """Rounds of movement from mapping: the new mapping, all vertices that moved, and the number of rounds.
 
     Each round strictly raises the quality: disjoint moves by their gains; in throughput mode many vertices may
     enter one community, and where that does not raise the exact quality the round is done over with disjoint
-    moves. full looks at every vertex again each round; else only at the frontier.
+    moves. rounds bounds them; strict raises NotSettled where moves are left then. full looks at every vertex again each round; else only at the frontier.
     """
     moved, n = mapping.select("v").limit(0), 0
     now = quality_numerator(edges, degree, mapping, m2, num, den) if mode is Mode.THROUGHPUT else 0
-    while n < rounds:
+    while rounds is None or n < rounds + strict:
         best = materialize(best_moves(candidates(adj, mapping, degree, m2, num, den, None if full else active)))
         if best.isEmpty():
             break
+        if n == rounds:
+            raise NotSettled(f"vertices are left to move after {rounds} rounds")
         n += 1
         chosen = None
         if mode is Mode.THROUGHPUT:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from commstream.config import NotSettled
 from commstream.functions.gain import gain_numerator
 from commstream.operators.components import connected_components
 from commstream.operators.graph import community_degrees
-from commstream.operators.movement import accept_disjoint, best_moves
+from commstream.operators.movement import accept_disjoint, accept_roles, applied, best_moves, quality_numerator
 from commstream.storage import materialize
 
 
@@ -78,15 +79,31 @@ def merge_moves(adj: DataFrame, subs: DataFrame, mapping: DataFrame, degree: Dat
     return moves.select("v", F.col("s").alias("cur"), F.col("su").alias("cand"), gain.alias("gain"))
 
 
-def merge(adj: DataFrame, subs: DataFrame, mapping: DataFrame, degree: DataFrame, m2: int, num: int = 1, den: int = 1, of: DataFrame | None = None, rounds: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Rounds of merging lone vertices, each round disjoint in sub-communities; the result and the vertices that merged."""
-    merged = subs.select("v").limit(0)
-    for _ in range(rounds):
-        best = best_moves(merge_moves(adj, subs, mapping, degree, m2, num, den, of))
-        chosen = materialize(accept_disjoint(materialize(best)))
-        if chosen.isEmpty():
+def merge(adj: DataFrame, subs: DataFrame, mapping: DataFrame, degree: DataFrame, m2: int, num: int = 1, den: int = 1, of: DataFrame | None = None, rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Rounds of merging lone vertices until none is left to merge; the result and the vertices that merged.
+
+    Many may enter one sub-community in a round; where that does not raise the exact quality, the round is done over
+    with disjoint moves. NotSettled where moves are left after rounds.
+    """
+    merged, n = subs.select("v").limit(0), 0
+    edges = adj.where("v < u").select(F.col("v").alias("src"), F.col("u").alias("dst"), "w")
+    as_mapping = lambda x: x.select("v", F.col("s").alias("c"))
+    now = quality_numerator(edges, degree, as_mapping(subs), m2, num, den)
+    while True:
+        best = materialize(best_moves(merge_moves(adj, subs, mapping, degree, m2, num, den, of)))
+        if best.isEmpty():
             break
-        subs = materialize(subs.join(chosen.select("v", "cand"), "v", "left").select("v", F.coalesce("cand", "s").alias("s")))
+        if rounds is not None and n >= rounds:
+            raise NotSettled(f"lone vertices are left to merge after {rounds} rounds")
+        n += 1
+        chosen = materialize(accept_roles(best))
+        after = materialize(applied(as_mapping(subs), chosen))
+        then = quality_numerator(edges, degree, after, m2, num, den)
+        if then <= now:
+            chosen = materialize(accept_disjoint(best))
+            after = materialize(applied(as_mapping(subs), chosen))
+            then = quality_numerator(edges, degree, after, m2, num, den)
+        subs, now = after.select("v", F.col("c").alias("s")), then
         merged = merged.unionByName(chosen.select("v"))
     return subs, merged
 

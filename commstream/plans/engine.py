@@ -62,7 +62,7 @@ def _level(edges: DataFrame, vertices: DataFrame, start: DataFrame, config: RunC
     m2 = graph.twice_total(edges)
     if not fits(m2, config.gamma_num, config.gamma_den):
         raise InvalidInput(f"a total weight of {m2} is too large for exact gains; use a smaller scale")
-    mapping, _, rounds = movement.move(edges, adj, degree, start, m2, None, config.mode, config.max_iterations, config.gamma_num, config.gamma_den)
+    mapping, _, rounds = movement.move(edges, adj, degree, start, m2, None, config.mode, config.max_iterations, config.gamma_num, config.gamma_den, strict=True)
     alone = vertices.select("v", F.col("v").alias("s"))
     subs, _ = refine.merge(adj, alone, mapping, degree, m2, config.gamma_num, config.gamma_den, rounds=config.max_iterations)
     return Level(edges, mapping, subs, rounds)
@@ -122,7 +122,7 @@ def maintain(state: State, delta: DataFrame, batch_id: int, config: RunConfig |
         if not fits(m2, num, den):
             raise InvalidInput(f"a total weight of {m2} is too large for exact gains")
         active = materialize(movement.activated(delta, start))
-        mapping, moved, rounds = movement.move(edges, adj, degree, start, m2, active, config.mode, config.max_iterations, num, den)
+        mapping, moved, rounds = movement.move(edges, adj, degree, start, m2, active, config.mode, config.max_iterations, num, den, strict=True)
         touched = materialize(movement.affected(delta, subs).unionByName(moved).distinct())
         now, parted = refine.split(edges, subs, mapping, touched)
         fresh = vertices.join(old.subs.select("v"), "v", "left_anti")

@@ -1,8 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from commstream.config import InvalidInput, Mode, RunConfig, resolve
-from commstream.operators import graph
+from commstream.config import InvalidInput, Mode, NotSettled, RunConfig, resolve
+from commstream.operators import graph, refine
 from commstream.operators.components import connected_components
 from commstream.plans import dynamic, engine, gate, validate
 from commstream.plans.quality import modularity
@@ -88,3 +88,14 @@ def test_modularity_of_two_pairs(spark):
     e, v = graph_of(spark, [(0, 1), (2, 3)], 4)
     f = v.select("v", (F.col("v") - F.col("v") % 2).alias("c"))
     assert modularity(graph.weighted(e), f).first()["q"] == 0.5
+
+
+def test_many_lone_vertices_merge_in_a_round(spark):
+    e, v = graph_of(spark, [(0, i) for i in range(1, 13)], 13)
+    e = graph.weighted(e)
+    whole = v.select("v", (F.col("v") * 0).alias("c")), graph.degrees(e, v), graph.twice_total(e)
+    alone = v.select("v", F.col("v").alias("s"))
+    subs, merged = refine.merge(graph.neighbours(e), alone, *whole, rounds=3)
+    assert subs.select("s").distinct().count() == 1 and merged.count() == 12
+    with pytest.raises(NotSettled):
+        refine.merge(graph.neighbours(e), alone, *whole, rounds=1)

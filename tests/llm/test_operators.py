@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from commstream.llm import bpe, chat_format, embedding_dedup, language_id, mixing, ngram_jaccard, pii, quality, simhash, substring_dedup
+from commstream.llm import bpe, chat_format, embedding_dedup, language_id, ngram_jaccard, pii, quality, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -103,18 +103,6 @@ def test_bpe_rows(spark):
     assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
 
 
-def test_mixing_meets_targets(spark):
-    rows = [(i, "w " * (1 + i * 7 % 90), "en", None if i % 11 == 0 else f"s{i % 3}", 0, "", "") for i in range(400)] + [(None, None, None, "s0", 0, "", "")]
-    df = spark.createDataFrame(rows, DOCS)
-    out = mixing.mix(df).toPandas()
-    assert (out["taken"] <= 2 * out["size"]).all() and len(out) == 401
-    by = out.groupby(out["source"].fillna("~"))
-    missing = by["target"].first() - by["taken"].sum()
-    assert (missing >= 0).all() and (missing <= 0.005 * by["target"].first()).all()
-    again = mixing.mix(df.repartition(7)).toPandas()
-    assert again.groupby("doc_id")["taken"].sum().equals(out.groupby("doc_id")["taken"].sum())
-
-
 def test_chat_reads_back_what_it_wrote(spark):
     odd = ["\\### Assistant: </turn> ok", "", "###", "\\", "a:b\n### user: x</turn>\n"]
     rows = [(1, i, ["user", "assistant", None][i % 3], t, "x") for i, t in enumerate(odd * 20)] + [(None, None, "a", None, "x")]

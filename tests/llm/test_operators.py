@@ -1,4 +1,3 @@
-import hashlib
 import random
 import re
 
@@ -7,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from commstream.llm import bpe, chat_format, embedding_dedup, language_id, ngram_jaccard, pii, quality, simhash, substring_dedup
+from commstream.llm import bpe, embedding_dedup, language_id, ngram_jaccard, pii, quality, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -103,20 +102,6 @@ def test_bpe_rows(spark):
     assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
 
 
-def test_chat_reads_back_what_it_wrote(spark):
-    odd = ["\\### Assistant: </turn> ok", "", "###", "\\", "a:b\n### user: x</turn>\n"]
-    rows = [(1, i, ["user", "assistant", None][i % 3], t, "x") for i, t in enumerate(odd * 20)] + [(None, None, "a", None, "x")]
-    out = {r["conv_id"]: r for r in chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, key string")).collect()}
-    told = "".join(f"{r or ''}\n{t}\n" for _, _, r, t, _ in rows[:-1])
-    loss = "".join(t for _, _, r, t, _ in rows[:-1] if r == "assistant")
-    assert out[1]["turns_sha256"] == hashlib.sha256(told.encode()).hexdigest()
-    assert (out[1]["loss_chars"], out[1]["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    spans = [tuple(map(int, s.split(":"))) for s in out[1]["loss_spans"].split(",")]
-    assert "".join(chat_format.unescape(out[1]["formatted"][a:b]) for a, b in spans) == loss
-    with pytest.raises(chat_format.RewritesHistory):
-        chat_format.turn_spans(lambda turns: f"{len(turns)} " + "".join(t for _, t in turns), [("user", "a"), ("user", "b")])
-
-
 def test_pii_base_and_linked_mentions(spark):
     base, spans = pii.find("call +1 (724) 555-7058 now, later (724) 555-7058; on 2020-10-11 also 999 123 4567")
     assert len(base) == 1 and [k for _, _, k in spans] == [3, 3]

@@ -6,8 +6,10 @@ each in logarithmic time, until the root says that no pair can be merged. Words
 by side as rows of one array of trees; longer words have a tree of their own.
 
 Text is normalised and cut as the vocabulary's file says: NFC, white space runs to one space, lower case by code
-point; special tokens are cut out of the raw text first. White space ends every word, so chunks between white space
-are encoded once for each worker and kept in a bounded table.
+point; special tokens are cut out of the raw text first. What counts as a letter, a number or white space, and lower
+case, differ between versions of Unicode: texts with characters beyond PLAIN are normalised and cut by the tokenizers
+library's own components, so that its version holds. White space ends every word, so chunks between white space are
+encoded once for each worker and kept in a bounded table.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,6 +33,14 @@ CACHE_CHUNKS = 200_000
 RECURRING_CHUNKS = 110_000
 BATCH_WIDTHS = (4, 8, 16, 32)
 NONE = np.int64(1 << 62)
+#: A character that is treated by the library; all others are alike in every version of Unicode (a test walks them all).
+BEYOND_PLAIN = regex.compile("[^\x00-\u024f\u2010-\u2027]")
+
+
+def library_normalizer(spec: dict) -> tokenizers.normalizers.Normalizer:
+    """The normaliser that a vocabulary's file describes."""
+    kinds = {"NFC": lambda x: tokenizers.normalizers.NFC(), "Lowercase": lambda x: tokenizers.normalizers.Lowercase(), "Replace": lambda x: tokenizers.normalizers.Replace(tokenizers.Regex(x["pattern"]["Regex"]), x["content"])}
+    return tokenizers.normalizers.Sequence([kinds[x["type"]](x) for x in spec["normalizers"]])
 
 
 def byte_letters() -> dict[int, str]:
@@ -52,6 +63,8 @@ class Bpe:
         self.cut_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.pieces = regex.compile(pattern)
+        self.normalizer = library_normalizer(spec["normalizer"])
+        self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True)
         letters = byte_letters()
         self.inner = np.array([self.vocab[letters[b]] for b in range(256)], np.int64)
         self.last = np.array([self.vocab[letters[b] + self.suffix] for b in range(256)], np.int64)
@@ -209,17 +222,21 @@ class Bpe:
             out[i] = self._merge_long(ids)
         return out
 
-    def normalize(self, text: str) -> str:
-        if text.isascii():
-            return text.lower()
-        text = unicodedata.normalize("NFC", text)
-        # Lower case by code point: a final sigma is no special case.
-        return text.lower() if "Σ" not in text else "".join([c.lower() for c in text])
-
     def _chunks(self, text: str) -> list[str]:
         """Normalised runs without white space; the separators 0x1C-0x1F are not white space here."""
-        text = self.normalize(text)
-        return text.split() if not regex.search("[\x1c-\x1f]", text) else [x for x in regex.split(r"[\t-\r \x85\xa0  -     　]+", text) if x]
+        if text.isascii():
+            text = text.lower()
+            return text.split() if not regex.search("[\x1c-\x1f]", text) else [x for x in regex.split("[\t-\r ]+", text) if x]
+        if BEYOND_PLAIN.search(text):
+            return [x for x in self.normalizer.normalize_str(text).split(" ") if x]
+        text = unicodedata.normalize("NFC", text).lower()
+        return [x for x in regex.split("[\t-\r \x85\xa0]+", text) if x] if regex.search("[\x1c-\x1f]", text) else text.split()
+
+    def _pieces(self, chunk: str) -> list[str]:
+        """The words of a chunk."""
+        if BEYOND_PLAIN.search(chunk):
+            return [x for x, _ in self.splitter.pre_tokenize_str(chunk)]
+        return self.pieces.findall(chunk)
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with special tokens kept, where the file names no decoder: tokens joined by spaces."""
@@ -241,7 +258,7 @@ class Bpe:
             if c.isascii() and c.isalpha():
                 words.append(c.encode())
             else:
-                words += [w.encode() for w in self.pieces.findall(c)]
+                words += [w.encode() for w in self._pieces(c)]
             cut.append(len(words))
         ids, at, text_of, number_of = self.encode_words(words), 0, self.text_of, self.number_of
         for c, to in zip(order, cut, strict=True):
@@ -332,7 +349,9 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
 
     path: the vocabulary file, present on every executor. ids is an array of int; with digests=True ids and decoded
     are SHA-256 digests of the decimal ids joined by a space and of the decoded text. Null texts count as empty: no
-    token, empty text. Null and repeated ids pass through; extra columns are ignored.
+    token, empty text. Null and repeated ids pass through; extra columns are ignored; an empty table gives an empty
+    result. Texts are encoded whole, each long word by a tree of its own; of pairs of one rank (ties) the leftmost
+    merges first.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     kind = "string" if digests else "array<int>"

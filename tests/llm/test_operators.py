@@ -4,9 +4,8 @@ import re
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from commstream.llm import bpe, embedding_dedup, language_id, ngram_jaccard, pii, quality, simhash, substring_dedup
+from commstream.llm import embedding_dedup, language_id, ngram_jaccard, pii, quality, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -82,26 +81,6 @@ def test_factors_break_where_the_reference_does():
     assert substring_dedup.parse(np.array([0, 1, 5]), np.array([3, 3, 3]), np.array([7, 8, 2]), 20) == [(0, 21), (5, 20)]
 
 
-@pytest.fixture(scope="module")
-def vocabulary():
-    return bpe.load(bpe.default_path())
-
-
-def test_bpe_equals_the_library(vocabulary):
-    rng, library = random.Random(1), Tokenizer.from_file(bpe.default_path())
-    texts = ["", "<|endoftext|>x<|startoftext|> Y", "don't I'LL", "a" * 3000, "ΑΣ İ é", "\x1c a", words(50)]
-    texts += ["".join(rng.choices("abcdeéß'<|>endoftxr .,1́中", k=rng.randint(0, 40))) for _ in range(2000)]
-    for text, (ids, n, decoded) in zip(texts, vocabulary.encode_texts(texts), strict=True):
-        own = library.encode(text, add_special_tokens=False).ids
-        assert (ids, n, decoded) == (" ".join(map(str, own)), len(own), library.decode(own, skip_special_tokens=False)), text
-
-
-def test_bpe_rows(spark):
-    rows = bpe.encode_documents(frame(spark, EDGE), bpe.default_path()).collect()
-    assert len(rows) == len(EDGE)
-    assert all(len(r["ids"]) == r["n_tokens"] for r in rows)
-
-
 def test_pii_base_and_linked_mentions(spark):
     base, spans = pii.find("call +1 (724) 555-7058 now, later (724) 555-7058; on 2020-10-11 also 999 123 4567")
     assert len(base) == 1 and [k for _, _, k in spans] == [3, 3]

@@ -7,7 +7,10 @@ the window, a dense layer and softmax give probabilities; a text's are the mean
 
 from __future__ import annotations
 
+import base64
+import random
 import re
+import string
 
 import numpy as np
 import pyarrow as pa
@@ -18,13 +21,20 @@ from commstream.llm import textkit as tk
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
-FILTERS = 8
+FEWEST_FILTERS = 8
+MOST_FILTERS = 64
 TRAIN_ROWS_PER_LANGUAGE = 400
-TRAIN_LANGUAGES = 300
+#: Rows drawn in all. Of more languages than TRAIN_ROWS / TRAIN_ROWS_PER_LANGUAGE each has fewer rows, none goes.
+TRAIN_ROWS = 100_000
 TRAIN_BYTES = 3 * WINDOW
 EPOCHS = 12
 UNDETERMINED = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_ASCII_LETTER = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether a character of Unicode class L stands in the text."""
+    return bool(_ASCII_LETTER.search(text)) or any(c.isalpha() for c in text)
 
 
 def windows(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -45,9 +55,10 @@ class ByteCnn:
     def __init__(self, languages: list[str], seed: int = 5):
         rng = np.random.default_rng(seed)
         self.languages = languages
-        self.tables = [rng.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS]
-        self.bias = [np.zeros(FILTERS, np.float32) for _ in WIDTHS]
-        self.dense = rng.normal(0, 0.1, (FILTERS * len(WIDTHS), len(languages))).astype(np.float32)
+        self.filters = min(MOST_FILTERS, max(FEWEST_FILTERS, 2 * len(languages)))  # of each width
+        self.tables = [rng.normal(0, 0.3, (w, 256, self.filters)).astype(np.float32) for w in WIDTHS]
+        self.bias = [np.zeros(self.filters, np.float32) for _ in WIDTHS]
+        self.dense = rng.normal(0, 0.1, (self.filters * len(WIDTHS), len(languages))).astype(np.float32)
         self.offset = np.zeros(len(languages), np.float32)
 
     def _convolve(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -77,9 +88,9 @@ class ByteCnn:
                 d = (p / p.sum(1, keepdims=True) - target) / len(rows)
                 dz = (d @ self.dense.T) * (z > 0)
                 grads = [np.zeros_like(t) for t in self.tables] + [np.zeros_like(b) for b in self.bias] + [h.T @ d, d.sum(0)]
-                col = np.arange(FILTERS)
+                col = np.arange(self.filters)
                 for i, w in enumerate(WIDTHS):
-                    part = slice(i * FILTERS, (i + 1) * FILTERS)
+                    part = slice(i * self.filters, (i + 1) * self.filters)
                     for j in range(w):
                         np.add.at(grads[i][j], (np.take_along_axis(own, where[:, part] + j, 1), col[None]), dz[:, part])
                     grads[len(WIDTHS) + i] = dz[:, part].sum(0)
@@ -91,7 +102,7 @@ class ByteCnn:
 
     def joined(self) -> list[np.ndarray]:
         """Tables by pair of bytes: both of width 2, the first two of width 3, then either half of width 4."""
-        pair = lambda a, b: (b[:, None, :] + a[None, :, :]).reshape(65536, FILTERS)  # noqa: E731  index: second x 256 + first
+        pair = lambda a, b: (b[:, None, :] + a[None, :, :]).reshape(65536, self.filters)  # noqa: E731  index: second x 256 + first
         two, three, four = self.tables
         return [pair(two[0], two[1] + self.bias[0]), pair(three[0], three[1] + self.bias[1]), three[2], pair(four[0], four[1] + self.bias[2]), pair(four[2], four[3])]
 
@@ -110,25 +121,47 @@ class ByteCnn:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id") -> ByteCnn | None:
-    """Fit on a bounded sample: of the most frequent TRAIN_LANGUAGES values about TRAIN_ROWS_PER_LANGUAGE rows each.
+def noise(n: int, seed: int = 9) -> list[str]:
+    """Texts in no language, from a seeded generator: letters at random, signs, numbers, hexadecimal, base 64, and
+    characters of one script at random."""
+    rng = random.Random(seed)
+    scripts = [(0x3B1, 0x3C9), (0x430, 0x44F), (0x5D0, 0x5EA), (0x627, 0x64A), (0x905, 0x939), (0xE01, 0xE30), (0x3041, 0x3096), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
+    pool = lambda s: lambda: "".join(rng.choices(s, k=rng.randint(2, 12)))
+
+    def one():
+        lo, hi = rng.choice(scripts)
+        made = rng.choice([
+            pool(string.ascii_lowercase), pool(string.ascii_letters), pool(string.punctuation), pool(string.digits), pool(string.printable[:94]),
+            lambda: rng.randbytes(rng.randint(8, 40)).hex(), lambda: base64.b64encode(rng.randbytes(rng.randint(20, 60))).decode(), lambda: "".join(chr(rng.randint(lo, hi)) for _ in range(rng.randint(2, 8))),
+        ])
+        return " ".join(made() for _ in range(rng.randint(3, 90)))
+
+    return [one() for _ in range(n)]
 
-    Rows are drawn by a hash of the key, a run of TRAIN_BYTES bytes at a hashed place of each. None: no labelled row.
+
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", noise_rows: int = 0) -> ByteCnn | None:
+    """Fit on a bounded sample: about TRAIN_ROWS_PER_LANGUAGE rows of every language, TRAIN_ROWS in all.
+
+    Rows are drawn in the order of a hash of key and text, a run of TRAIN_BYTES bytes at a hashed place of each; so
+    reruns learn from the same rows, with repeated and null keys too. noise_rows adds a class of its own, `und`, of
+    so many texts in no language. None: no labelled row.
     """
-    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(key_col).alias("k"), F.col(lang_col).cast("string").alias("y"), F.col(text_col).alias("t"))
-    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "y").limit(TRAIN_LANGUAGES).collect()}
+    known = docs.where(F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(F.col(key_col).cast("string").alias("k"), F.col(lang_col).cast("string").alias("y"), F.col(text_col).cast("string").alias("t"))
+    counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return None
-    share = F.element_at(F.create_map(*[F.lit(x) for y, n in counts.items() for x in (y, float(1.2 * TRAIN_ROWS_PER_LANGUAGE / n))]), F.col("y"))
-    unit = F.pmod(F.xxhash64("k", F.lit(17)), F.lit(1 << 20)) / float(1 << 20)
+    each = max(1, min(TRAIN_ROWS_PER_LANGUAGE, TRAIN_ROWS // len(counts)))
+    share = F.element_at(F.create_map(*[F.lit(x) for y, n in sorted(counts.items()) for x in (y, max(1.2 * each, each + 12) / n)]), F.col("y"))
+    unit = F.pmod(F.xxhash64("k", "y", F.length("t"), F.lit(17)), F.lit(1 << 40)) / float(1 << 40)
     start = (F.pmod(F.xxhash64("k", F.lit(23)), F.greatest(F.length("t") - TRAIN_BYTES, F.lit(1))) + 1).cast("int")
-    drawn = known.where(unit < share).select("k", "y", F.col("t").substr(start, F.lit(TRAIN_BYTES)).alias("t"))
-    rows = drawn.limit(2 * TRAIN_ROWS_PER_LANGUAGE * len(counts)).toPandas().sort_values(["k", "y", "t"])
-    languages = sorted(set(rows["y"])) or sorted(counts)
+    drawn = known.withColumn("unit", unit).where(F.col("unit") < share).select("unit", "k", "y", F.col("t").substr(start, F.lit(TRAIN_BYTES)).alias("t"))
+    rows = drawn.orderBy("unit", "k", "y", "t").limit(2 * each * len(counts)).toPandas()
+    languages = sorted({*rows["y"], *([UNDETERMINED] if noise_rows else [])}) or sorted(counts)
     model = ByteCnn(languages)
-    raw = [t.encode()[:TRAIN_BYTES] for t in rows["t"]]
+    raw = [t.encode()[:TRAIN_BYTES] for t in [*rows["t"], *noise(noise_rows)]]
     x, owner, filled = windows(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64))
-    y = np.array([languages.index(v) for v in rows["y"]], np.int64)
+    at = {v: i for i, v in enumerate(languages)}
+    y = np.array([at[v] for v in [*rows["y"], *[UNDETERMINED] * noise_rows]], np.int64)
     if len(x):
         model.fit(x, y[owner])
     return model
@@ -142,8 +175,11 @@ def _languages(model: ByteCnn | None, joined: list | None, texts: pa.Array) -> t
         total = np.zeros((len(texts), len(model.languages)))
         np.add.at(total, owner, p)
         size = np.maximum(np.bincount(owner, filled, len(texts)), 1)
+        if UNDETERMINED in model.languages:  # the class of noise wins by more than half alone
+            noisy = model.languages.index(UNDETERMINED)
+            total[2 * total[:, noisy] <= size, noisy] = 0
         for i, text in enumerate(texts.to_pylist()):
-            if text and _LETTER.search(text):
+            if text and has_letter(text):
                 best = int(total[i].argmax())
                 lang[i], score[i] = model.languages[best], min(1.0, total[i, best] / size[i])
     return lang, score
@@ -160,12 +196,19 @@ def _predict(model: ByteCnn | None):
 
 
 def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float, text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose language is determined with a score of at least ``least``."""
+    """The rows of docs, all columns as they are, whose language is determined with a score of at least ``least``.
+
+    Null texts and those without a letter go. Without a model (no labelled row anywhere) every text with a letter
+    stays. Repeated rows stay as often as they come, an empty table stays empty, long texts are judged whole.
+    """
     at = docs.columns.index(text_col)
 
     def run(batches):
         joined = model.joined() if model else None
         for batch in tk.slices(batches, text_col):
+            if model is None:
+                yield batch.filter(pa.array([bool(t) and has_letter(t) for t in batch.column(at).to_pylist()], pa.bool_()))
+                continue
             lang, score = _languages(model, joined, batch.column(at))
             yield batch.filter(pa.array((np.array(lang) != UNDETERMINED) & (score >= least)))
 
@@ -175,8 +218,10 @@ def keep_identified(docs: DataFrame, model: ByteCnn | None, least: float, text_c
 def identify(docs: DataFrame, model: ByteCnn | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, lang_pred, score), a row for each row of docs, in one pass over whole texts.
 
-    score is the mean probability of the predicted language. Texts that are null or hold no letter, and all texts
-    where there is no model, are `und` with score 0. Null and repeated ids pass through, extra columns are ignored.
+    score is the mean probability of the predicted language; of languages that tie the first by code point is taken.
+    Texts that are null or hold no letter (Unicode class L), and all texts where there is no model, are `und` with
+    score 0. Long texts are read whole, window by window. Null and repeated ids pass through, extra columns are
+    ignored, an empty table gives an empty result.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(tk.released(_predict(model)), "id long, lang_pred string, score double").withColumnRenamed("id", id_col)

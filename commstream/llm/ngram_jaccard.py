@@ -1,20 +1,21 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence matrix.
 
-The product is taken column by column over prefixes only. If two sets reach the similarity, the first
-``n - ceil(t n) + 1`` members of both, in one order of all shingles, share a member; so only these columns are
-multiplied, frequent shingles ordered last. Documents with equal sets are one row of the matrix. In each column a
-hub is multiplied with the other rows; overlap counts of the surviving pairs are completed exactly, pairs below the
-size-derived bound ``overlap >= t (n_a + n_b) / (1 + t)`` go. What a column still has in several components is
-multiplied in blocks, where a parity bitmap bounds the overlap from above before it is counted. No pair inside one
-component is needed, so the work on a group of near copies grows with its size, not its square, and no link between
-different components is ever skipped.
+Documents with equal sets are one row of the matrix. Which rows are multiplied at all is decided on few columns: if
+two sets reach the similarity, the first ``n - ceil(t n) + 1`` members of both, in one order of all shingles, share a
+member; so only these columns are opened, frequent shingles ordered last. In each open column a hub is paired with
+the other rows; what a column still has in several components is paired in blocks, where a parity bitmap bounds the
+overlap from above. No pair inside one component is needed, so the work on a group of near copies grows with its
+size, not its square, and no link between different components is ever skipped.
+
+The pairs left are entries of the product to be computed: one row times a block of rows, column block by column
+block. Overlap counts are accumulated, and after each column block a pair goes whose count and the columns that
+either row has left cannot reach the size-derived bound ``overlap >= t (n_a + n_b) / (1 + t)``.
 
 Shingles are 64-bit hashes and equal sets are known by 128 bits and their size.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from commstream.llm import skew
 from commstream.llm import textkit as tk
 from commstream.operators.components import connected_components
 from commstream.storage import materialize
@@ -32,12 +34,18 @@ BLOCK_ROWS = 512
 FREQUENT_SHARE = 1000
 COUNT_ROWS = 2_000_000
 BROADCAST_KEYS = 500_000
+PRODUCT_ROWS = 512
+PRODUCT_COLUMNS = 1024
 
 
 def _prefix(n: int, num: int, den: int) -> int:
     return n - -(-n * num // den) + 1
 
 
+def _signature(s: np.ndarray) -> tuple[int, int]:
+    return int(s.sum(dtype=np.uint64)), int(np.bitwise_xor.reduce(tk.mix(s + np.uint64(77)))) if len(s) else 0
+
+
 def _sets(batch: pa.RecordBatch, k: int) -> Iterator[np.ndarray]:
     data, offsets = tk.text_bytes(batch.column(1))
     starts, ends, first = tk.word_spans(data, offsets)
@@ -82,8 +90,9 @@ def _rows(k: int, num: int, den: int, late):
             n, s1, s2, bits, wide, prefix = [], [], [], [], [], []
             for s in _sets(batch, k):
                 n.append(len(s))
-                s1.append(int(s.sum(dtype=np.uint64)))
-                s2.append(int(np.bitwise_xor.reduce(tk.mix(s + np.uint64(77)))) if len(s) else 0)
+                first, second = _signature(s)
+                s1.append(first)
+                s2.append(second)
                 size = 64 * BITMAP_WORDS
                 while 2 * size < len(s):
                     size *= 2
@@ -107,11 +116,77 @@ def _rows(k: int, num: int, den: int, late):
 
 
 def _whole_sets(k: int):
+    """key, set signature and the whole set, sorted as unsigned numbers."""
+
     def run(batches):
         for batch in tk.slices(batches):
-            sets = [s.view(np.int64) for s in _sets(batch, k)]
+            sets = list(_sets(batch, k))
+            signs = np.array([_signature(x) for x in sets], np.uint64).reshape(-1, 2).view(np.int64)
             lengths = np.concatenate([[0], np.cumsum([len(x) for x in sets])]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets)))], names=["key", "items"])
+            items = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(sets).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(signs[:, 0]), pa.array(signs[:, 1]), items], names=["key", "s1", "s2", "items"])
+
+    return run
+
+
+def overlap_counts(row: np.ndarray, items: np.ndarray, first: np.ndarray, num: int, den: int, columns: int = PRODUCT_COLUMNS) -> np.ndarray:
+    """One row of the matrix times a block of rows: overlap counts, -1 where the bound was missed on the way.
+
+    row and each of the block's rows (items[first[i] : first[i + 1]]) are sorted. Columns are taken in blocks of the
+    row's own, in order.
+    """
+    sizes = np.diff(first)
+    need = minimum_overlap(len(row), sizes, num, den)
+    count, alive, at = np.zeros(len(sizes), np.int64), np.arange(len(sizes)), first[:-1].copy()
+    for start in range(0, len(row), columns):
+        block = row[start : start + columns]
+        ends = first[alive + 1]
+        if start + columns < len(row):  # where each row's members up to the block's last column end
+            lo, hi = at[alive], ends.copy()
+            while (open_rows := np.flatnonzero(lo < hi)).size:
+                mid = (lo[open_rows] + hi[open_rows]) >> 1
+                below = items[mid] <= block[-1]
+                lo[open_rows[below]], hi[open_rows[~below]] = mid[below] + 1, mid[~below]
+            upto = lo
+        else:
+            upto = ends
+        n = upto - at[alive]
+        held = items[np.repeat(at[alive] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        hit = block[np.minimum(np.searchsorted(block, held), len(block) - 1)] == held
+        count[alive] += np.bincount(np.repeat(np.arange(len(alive)), n)[hit], minlength=len(alive))
+        at[alive] = upto
+        most = count[alive] + np.minimum(len(row) - start - len(block), ends - upto)
+        alive = alive[most >= need[alive]]
+        if not len(alive):
+            break
+    out = np.full(len(sizes), -1, np.int64)
+    out[alive] = count[alive]
+    return out
+
+
+def _product(num: int, den: int):
+    """Links among the pairs of one row (part 0, which comes first in its group) and the others of its block."""
+
+    def run(batches):
+        head, row = None, np.zeros(0, np.uint64)
+        for batch in batches:
+            name, block, part, v = (batch.column(i).to_numpy() for i in range(4))
+            first, items = batch.column(4).offsets.to_numpy().astype(np.int64), batch.column(4).values.to_numpy().view(np.uint64)
+            cuts = np.flatnonzero((name[1:] != name[:-1]) | (block[1:] != block[:-1])) + 1
+            a, b = [], []
+            for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(name)], strict=True):
+                if part[lo] == 0:
+                    head, row, lo = (name[lo], block[lo]), items[first[lo] : first[lo + 1]].copy(), lo + 1
+                if lo == hi:
+                    continue
+                assert head == (name[lo], block[lo])
+                counts = overlap_counts(row, items, first[lo : hi + 1], num, den)
+                # A count that was not cut short is exact.
+                links = np.flatnonzero(counts * (den + num) >= (len(row) + np.diff(first[lo : hi + 1])) * num)
+                a.append(np.full(len(links), name[lo]))
+                b.append(v[lo:hi][links])
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a), pa.int64()), pa.array(np.concatenate(b), pa.int64())], names=["a", "b"])
 
     return run
 
@@ -158,12 +233,19 @@ def _block_pairs(num: int, den: int):
     return run
 
 
+def minimum_overlap(n_a, n_b, num: int, den: int):
+    """The smallest overlap of two sets of these sizes whose similarity is num / den or more."""
+    return -(-num * (n_a + n_b) // (num + den))
+
+
 def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", hub_rounds: int = 2) -> DataFrame:
     """(id_col, n_shingles, component_id, class_id), a row for each row of docs; the similarity is num / den.
 
-    Null and empty texts have no shingle and stand alone, as their own component. Rows that share an id are one
-    node. Null ids are kept: their component is the smallest other id they reach, else null. Equal sets are one
-    class (class_id: its smallest id). Extra columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no shingle and stand alone, as their own component. Rows that share an id are linked
+    with each other, whatever their texts; each links with others by its own text. Null ids are kept: their component
+    is the smallest other id they reach, else null. Equal sets are one class (class_id: its smallest id). Very long
+    texts are taken whole, in column blocks. Pairs at the similarity exactly (ties) link. Extra columns are ignored;
+    an empty table gives an empty result.
     """
     spark = docs.sparkSession
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
@@ -173,42 +255,52 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     late = often.where(F.col("n") >= max(64, total // FREQUENT_SHARE)).select("h").toPandas()["h"].to_numpy(np.int64)
     held = spark.sparkContext.broadcast(np.sort(late.view(np.uint64)))
     rows = materialize(texts.mapInArrow(tk.released(_rows(k, num, den, held)), "key long, n long, s1 long, s2 long, bits array<long>, wide array<long>, prefix array<long>"))
-    sets = rows.where("n > 0").groupBy("s1", "s2", "n").agg(F.min("key").alias("rep"))
-    member = materialize(rows.where("n > 0").select("key", "s1", "s2", "n").join(sets, ["s1", "s2", "n"]).select("key", "n", "rep"))
-    reps = rows.where("n > 0").join(member.where("key = rep").select("key", "n").distinct(), ["key", "n"], "left_semi")
+    # A class of equal sets is a node v; a group of copies of any size is counted before it is shuffled.
+    sign = ["s1", "s2", "n"]
+    sets = materialize(rows.where("n > 0").groupBy(*sign).agg(F.min("key").alias("rep"), F.count("*").alias("copies")).withColumn("v", F.monotonically_increasing_id()))
+    many = materialize(sets.where(F.col("copies") >= skew.hot_rows(total)))
+    placing = sets.select(*sign, "v", "rep")
+    member = materialize(skew.join_by_key(rows.where("n > 0").select("key", *sign), placing, sign, many).select("key", "n", "v", "rep"))
+    firsts = placing.withColumnRenamed("rep", "key")
+    reps = materialize(rows.where("n > 0").join(firsts, ["key", *sign]).dropDuplicates(["v"]))
 
-    incidence = reps.select("key", "n", F.explode("prefix").alias("h"))
-    column = incidence.groupBy("h").agg(F.min("key").alias("hub"), F.max("key").alias("top")).where("hub <> top").select("h", "hub")
-    cells = materialize(incidence.join(materialize(column), "h").select("h", "key", "n", "hub"))
+    incidence = reps.select("v", "n", F.explode("prefix").alias("h"))
+    column = incidence.groupBy("h").agg(F.min("v").alias("hub"), F.max("v").alias("top")).where("hub <> top").select("h", "hub")
+    cells = materialize(incidence.join(materialize(column), "h").select("h", "v", "n", "hub"))
 
-    known = rows.where("n > 0").select("key", "n", "wide").dropDuplicates(["key", "n"])
+    known = reps.select("v", "n", "wide")
 
     def halved(x):
         half = (F.size(x) / 2).cast("int")
         return F.zip_with(F.slice(x, 1, half), F.slice(x, half + 1, half), lambda x, y: x.bitwiseXOR(y))
 
     def overlaps(pairs: DataFrame) -> DataFrame:
-        """Those of the pairs that link. Sizes and bitmaps bound the overlap first; only what is left is counted."""
+        """Those of the pairs that link. Sizes and bitmaps bound the overlap first; what is left is multiplied."""
         left, right = known.toDF("a", "n", "x"), known.toDF("b", "m", "y")
         x, y = (F.when(F.size(x) > F.size(y), halved(x)).otherwise(F.col(x)) for x, y in (("x", "y"), ("y", "x")))
         apart = F.aggregate(F.zip_with(x, y, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
         may = pairs.join(left, "a").join(right, "b").where(f"least(n, m) * {den} >= greatest(n, m) * {num}").where(apart * (den + num) <= (F.col("n") + F.col("m")) * (den - num))
         may = materialize(may.select("a", "b").distinct())
-        wanted = materialize(may.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+        wanted = materialize(may.select(F.explode(F.array("a", "b")).alias("v")).distinct().join(reps.select("v", "key", "s1", "s2"), "v"))
         wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_KEYS else wanted
-        items = materialize(texts.join(wanted, "key", "left_semi").mapInArrow(tk.released(_whole_sets(k)), "key long, items array<long>").dropDuplicates(["key", "items"]))
-        counted = may.join(items.toDF("a", "x"), "a").join(items.toDF("b", "y"), "b")
-        counted = counted.select("a", "b", F.size(F.array_intersect("x", "y")).cast("long").alias("o"), (F.size("x") + F.size("y")).cast("long").alias("s"))
-        return counted.where(f"o * {den} >= (s - o) * {num}").select("a", "b")
+        items = materialize(texts.join(wanted.select("key").distinct(), "key", "left_semi").mapInArrow(tk.released(_whole_sets(k)), "key long, s1 long, s2 long, items array<long>").join(wanted, ["key", "s1", "s2"]).select("v", "items").dropDuplicates(["v"]))
+        # A row of the matrix with more partners than fit a block stands at the head of several.
+        blocks = may.groupBy("a").agg(F.ceil(F.count("*") / PRODUCT_ROWS).cast("int").alias("blocks"))
+        dealt = materialize(may.join(blocks, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int").alias("block")))
+        heads = dealt.select("a", "block", F.lit(0).alias("part"), F.col("a").alias("v")).distinct()
+        entries = heads.unionByName(dealt.select("a", "block", F.lit(1).alias("part"), F.col("b").alias("v"))).join(items, "v").select("a", "block", "part", "v", "items")
+        return entries.repartition("a", "block").sortWithinPartitions("a", "block", "part").mapInArrow(tk.released(_product(num, den)), "a long, b long")
 
     # Most pairs come from many of their shared columns.
-    done = materialize(cells.where("key <> hub").select(F.col("hub").alias("a"), F.col("key").alias("b")).distinct())
-    links = materialize(overlaps(done))
+    done = materialize(cells.where("v <> hub").select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct())
+    # Rows that share an id are linked whatever their texts.
+    same = member.where(F.col("key") != NULL_ID).groupBy("key").agg(F.min("v").alias("a"), F.max("v").alias("top")).where("a <> top").select("key", "a")
+    links = materialize(overlaps(done).unionByName(member.join(same, "key").where("v <> a").select("a", F.col("v").alias("b"))))
     comps = materialize(connected_components(links))
 
     def open_cells() -> DataFrame:
         """Cells of columns that still hold several components."""
-        now = cells.join(comps.withColumnRenamed("v", "key"), "key", "left").select("h", "key", "n", F.coalesce("component", "key").alias("comp"))
+        now = cells.join(comps, "v", "left").select("h", "v", "n", F.coalesce("component", "v").alias("comp"))
         several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("h", "rows")
         return materialize(now.join(several, "h"))
 
@@ -216,9 +308,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     for r in range(1, hub_rounds):
         if left.isEmpty():
             break
-        hub = left.groupBy("h").agg(F.min_by(F.struct("key", "comp", F.col("n").alias("m")), F.xxhash64(F.lit(r), "h", "key")).alias("hub"))
-        tried = left.join(hub.select("h", "hub.key", "hub.comp", "hub.m").toDF("h", "hub", "hub_comp", "m"), "h").where("comp <> hub_comp").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
-        pairs = tried.select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
+        hub = left.groupBy("h").agg(F.min_by(F.struct("v", "comp", F.col("n").alias("m")), F.xxhash64(F.lit(r), "h", "v")).alias("hub"))
+        tried = left.join(hub.select("h", "hub.v", "hub.comp", "hub.m").toDF("h", "hub", "hub_comp", "m"), "h").where("comp <> hub_comp").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
+        pairs = tried.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(pairs)
         links = links.unionByName(materialize(overlaps(pairs)))
@@ -226,25 +318,24 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         left = open_cells()
 
     count = F.ceil(F.col("rows") / BLOCK_ROWS).cast("int")
-    dealt = left.withColumn("blocks", count).withColumn("blk", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = left.withColumn("blocks", count).withColumn("blk", F.pmod(F.xxhash64("v"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("to", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.join(rows.where("n > 0").select("key", "n", "bits").dropDuplicates(["key", "n"]), ["key", "n"])
+    dealt = dealt.join(reps.select("v", "bits"), "v")
     # The group of blocks i < j holds both blocks; the group of block i alone holds it once.
     group = F.xxhash64("h", F.least("blk", "to"), F.greatest("blk", "to")).alias("g")
-    shaped = dealt.select(group, "key", "n", "comp", F.col("blk").cast("long").alias("blk"), (F.col("blk") != F.col("to")).alias("cross"), "bits")
+    shaped = dealt.select(group, F.col("v").alias("key"), "n", "comp", F.col("blk").cast("long").alias("blk"), (F.col("blk") != F.col("to")).alias("cross"), "bits")
     if not left.isEmpty():
         rest = shaped.repartition("g").sortWithinPartitions("g", "n").mapInArrow(tk.released(_block_pairs(num, den)), "a long, b long").distinct()
         links = links.unionByName(materialize(overlaps(materialize(rest.join(done, ["a", "b"], "left_anti")))))
         comps = connected_components(links)
-    placed = member.join(comps.withColumnRenamed("v", "rep"), "rep", "left").select("key", "n", "rep", F.coalesce("component", "rep").alias("component"))
-    alone = rows.where("n = 0").select("key", "n", F.col("key").alias("rep"), F.col("key").alias("component"))
+    named = placing.select("v", "rep").join(comps, "v", "left").select("v", F.coalesce("component", "v").alias("component"), "rep")
+    least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
+    named = materialize(named.join(least, "component").select("v", "component_id"))
+    hot = named.join(F.broadcast(many.select("v")), "v", "left_semi")
+    linked = skew.join_by_key(member, named, ["v"], hot).select("key", "n", "rep", "component_id")
+    alone = rows.where("n = 0").select("key", "n", F.col("key").alias("rep"), F.col("key").alias("component_id"))
     whole = lambda c: F.when(F.col(c) != NULL_ID, F.col(c))
-    return placed.unionByName(alone).select(whole("key").alias(id_col), F.col("n").alias("n_shingles"), whole("component").alias("component_id"), whole("rep").alias("class_id"))
-
-
-def minimum_overlap(n_a: int, n_b: int, num: int, den: int) -> int:
-    """The smallest overlap of two sets of these sizes whose similarity is num / den or more."""
-    return math.ceil(num * (n_a + n_b) / (num + den))
+    return linked.unionByName(alone).select(whole("key").alias(id_col), F.col("n").alias("n_shingles"), whole("component_id").alias("component_id"), whole("rep").alias("class_id"))
 
 
 def op2_ngram_jaccard(spark, sf_dir: str) -> DataFrame:

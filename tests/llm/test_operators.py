@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from commstream.llm import embedding_dedup, language_id, ngram_jaccard, pii, quality, simhash, substring_dedup
+from commstream.llm import embedding_dedup, language_id, pii, quality, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -24,41 +24,6 @@ def words(n, seed=0):
 EDGE = [(0, None), (1, ""), (2, "  \n"), (3, "a"), (3, "a"), (-1, "b c"), (4, "x" * 300_000)]
 
 
-def test_jaccard_against_brute_force(spark):
-    base, rng = words(60).split(), random.Random(5)
-    texts = list(EDGE)
-    for i in range(10, 50):
-        own = list(base) if i % 2 else words(60, i).split()
-        for _ in range(rng.randint(0, 3)):
-            own[rng.randrange(len(own))] = f"n{rng.randrange(99)}"
-        texts.append((i, " ".join(own)))
-    out = {r["doc_id"]: r for r in ngram_jaccard.jaccard_components(frame(spark, texts), 3, 9, 10).collect()}
-    sets = {}
-    for i, t in texts:
-        w = (t or "").lower().split()
-        sets[i] = {tuple(w[j : j + 3]) for j in range(max(1, len(w) - 2))} if w else set()
-    root = {i: i for i in sets}
-
-    def find(x):
-        while root[x] != x:
-            x = root[x]
-        return x
-
-    for a in sets:
-        for b in sets:
-            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    for i in sets:
-        if i >= 0:
-            assert (out[i]["n_shingles"], out[i]["component_id"]) == (len(sets[i]), find(i))
-    assert out[None]["component_id"] is None
-
-
-def test_jaccard_of_an_empty_table(spark):
-    assert ngram_jaccard.jaccard_components(frame(spark, [])).count() == 0
-
-
 def test_substrings_against_brute_force(spark):
     shared = words(30, 1)
     texts = [*EDGE, (7, f"{words(9, 2)} {shared} {words(5, 3)}"), (8, f"{shared} {shared} {words(40, 4)}"), (9, "z " * 60)]

@@ -1,6 +1,8 @@
 """The corpus pipeline: five stages over documents, each written as Parquet and read again.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame with the columns of documents; the last returns tokens.
+Extra columns pass through the first four as they are, whatever their names. Texts of any length are treated whole,
+null texts as each stage states, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -12,39 +14,44 @@ from commstream.llm import bpe, language_id, mixing, ngram_jaccard, pii
 from commstream.storage import materialize
 
 LEAST_LANGUAGE_SCORE = 0.3
+NOISE_ROWS = 400
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or whose language no class reaches, go. Learned from the documents that have a language."""
-    return language_id.keep_identified(docs, language_id.train(docs), LEAST_LANGUAGE_SCORE)
+    """Documents that are null or without a letter go, and those that the network takes for no language.
+
+    Learned from the documents that have a language and from NOISE_ROWS generated texts in none. Where no document has
+    a language, all with a letter stay. Repeated rows stay as often as they come.
+    """
+    return language_id.keep_identified(docs, language_id.train(docs, noise_rows=NOISE_ROWS), LEAST_LANGUAGE_SCORE)
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates (five-word shingles, similarity 0.8) the document of smallest id stays.
 
-    Of rows that repeat an id one stays. Rows without an id are kept as they are.
+    Rows are told apart by id and text, so that two texts of one id, or of none, are two documents; rows alike in both
+    are one. A document with an id stays before one without. Null and empty texts are near to nothing.
     """
-    named = docs.where(F.col("doc_id").isNotNull())
-    groups = ngram_jaccard.jaccard_components(named, k=5, num=4, den=5)
-    stays = materialize(groups.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct())
-    return named.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(F.col("doc_id").isNull()))
+    own = F.xxhash64("doc_id", "text").alias("own")
+    keyed = materialize(docs.select(own, F.col("doc_id").cast("long").alias("id")).distinct())
+    groups = ngram_jaccard.jaccard_components(docs.select(own, "text"), k=5, num=4, den=5, id_col="own")
+    groups = materialize(groups.select("own", "component_id").distinct())
+    first = F.min(F.struct(F.col("id").isNull(), "id", "own")).getField("own").alias("kept")
+    stays = materialize(keyed.join(groups, "own").groupBy("component_id").agg(first).select("kept"))
+    held = docs.select(F.xxhash64("doc_id", "text").alias("own"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = held.join(stays, held["own"] == stays["kept"], "left_semi").dropDuplicates(["own"])
+    return kept.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is masked; n_chars follows."""
+    """Personal data is masked; n_chars follows. Null texts stay null, repeated rows are masked alike."""
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document stands as often as the mix takes it."""
-    mixed = mixing.mix(docs).where("copies > 0").select("doc_id", "size", "source", "copies")
-    # Rows alike in all three are drawn alike: the largest number of copies holds for each.
-    drawn = mixed.groupBy("doc_id", "size", "source").agg(F.max("copies").alias("copies"))
-    drawn = materialize(drawn.select(F.col("doc_id").alias("d"), F.col("size").alias("w"), F.col("source").alias("s"), "copies"))
-    sized = docs.withColumn("size", mixing.word_count(F.col("text")))
-    same = F.col("doc_id").eqNullSafe(F.col("d")) & F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("w"))
-    return sized.join(drawn, same).select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("copy")).select(*docs.columns)
+    """Each document stands as often as the mix takes it: sources weigh 3, 1, 2, repeating. Texts without words go."""
+    return mixing.repeat_documents(docs)
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

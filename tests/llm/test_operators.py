@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from commstream.llm import embedding_dedup, language_id, pii, quality, simhash, substring_dedup
+from commstream.llm import language_id, pii, quality, simhash, substring_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -54,19 +54,6 @@ def test_pii_base_and_linked_mentions(spark):
     assert pii.find_pii(frame(spark, EDGE)).where("n_email = 0 and spans = ''").count() == len(EDGE)
 
 
-def test_embeddings_against_brute_force(spark):
-    rng = np.random.default_rng(2)
-    x = rng.normal(size=(60, 16))
-    x[30:] = x[:30] + rng.normal(size=(30, 16)) * 0.05
-    x[59] = x[0]
-    rows = [(i, v.tolist(), "q") for i, v in enumerate(x)] + [(100, None, ""), (101, [0.0] * 16, ""), (102, [float("nan")] * 16, ""), (103, [1.0], ""), (None, [1.0], "")]
-    out = {r["vec_id"]: r for r in embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, key string")).collect()}
-    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-    near = unit @ unit.T >= 0.9
-    assert [out[i]["n_links"] for i in range(60)] == (near.sum(1) - 1).tolist()
-    assert all(out[i]["n_links"] == 0 for i in (100, 101, 102, 103, None))
-
-
 def test_language_and_quality_learn(spark):
     rng = random.Random(4)
     made = lambda letters: " ".join("".join(rng.choices(letters, k=5)) for _ in range(60))

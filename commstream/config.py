@@ -14,10 +14,6 @@ class InvalidInput(CommstreamError):
     """Input or configuration that cannot be processed."""
 
 
-class BackendUnavailable(CommstreamError):
-    """Storage or acceleration that was asked for and cannot be had."""
-
-
 class NotSettled(CommstreamError):
     """A bound on rounds that the user set cut a phase short."""
 
@@ -40,8 +36,9 @@ class Source(str, Enum):
 
 @dataclass(frozen=True)
 class RunConfig:
-    """gamma is gamma_num / gamma_den, exact. max_iterations bounds the rounds of one movement or
-    merging phase, None does not; NotSettled is raised where it cuts one short."""
+    """gamma is gamma_num / gamma_den, exact. max_iterations bounds the rounds of one movement or merging phase, None
+    does not; NotSettled is raised where it cuts one short. Graphs of at most local_edges edges and vertices are
+    settled in one task, with the same result; 0: never."""
 
     mode: Mode = Mode.DETERMINISTIC
     source: Source = Source.FILE
@@ -50,6 +47,7 @@ class RunConfig:
     quality_tolerance: float = 0.001
     max_iterations: int | None = None
     levels: int = 10
+    local_edges: int = 500_000
     gamma_num: int = 1
     gamma_den: int = 1
     pinned_profile: str | None = None

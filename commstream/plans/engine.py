@@ -10,9 +10,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from commstream.config import InvalidInput, Mode, Resolution, RunConfig, Storage, resolve
+from commstream.config import InvalidInput, Mode, NotSettled, Resolution, RunConfig, Storage, resolve
 from commstream.functions.gain import fits
-from commstream.operators import graph, movement, refine
+from commstream.operators import graph, local, movement, refine
 from commstream.operators.aggregate import delta_superedges, relabelled, supergraph
 from commstream.operators.hierarchy import push_down
 from commstream.plans.quality import modularity
@@ -33,9 +33,14 @@ class Level:
 class State:
     levels: list[Level]
     batch_id: int = -1
+    #: All levels as rows of local.TABLE, where one task settled them, and how many edges the lowest one has.
+    table: DataFrame | None = None
+    n_edges: int = 0
 
     def communities(self) -> DataFrame:
         """(v, c): the community of every vertex, from the top level down."""
+        if self.table is not None:
+            return _kind(self.table, 0, local.PARTITION, "v", "c")
         return push_down([x.subs for x in self.levels[:-1]], self.levels[-1].mapping)[0]
 
     def refined(self) -> DataFrame:
@@ -57,6 +62,39 @@ class Outcome:
         return self.state.communities()
 
 
+def _kind(table: DataFrame, level: int, kind: int, *names: str) -> DataFrame:
+    own = table.where((F.col("level") == level) & (F.col("kind") == kind))
+    return own.select(*[F.col(c).alias(n) for c, n in zip("abw", names, strict=False)])
+
+
+def _rows(level: int, kind: int, df: DataFrame) -> DataFrame:
+    """df, of one to three columns, as rows of local.TABLE."""
+    own = [F.col(c).cast("long") for c in df.columns] + [F.lit(0).cast("long")] * (3 - len(df.columns))
+    return df.select(F.lit(level).alias("level"), F.lit(kind).alias("kind"), *[c.alias(n) for c, n in zip(own, "abw", strict=True)])
+
+
+def _in_one_task(rows: DataFrame, config: RunConfig, first: int, maintains: bool) -> DataFrame:
+    """local.TABLE of what one task makes of rows, which are of a checked number."""
+    out = materialize(rows.coalesce(1).mapInPandas(local.task(config, first, maintains), local.TABLE))
+    failed = out.where(F.col("kind") == local.FAILED).orderBy("level").select("a").collect()
+    if failed:
+        name, _, text = bytes(r["a"] for r in failed).decode().partition(":")
+        raise {"NotSettled": NotSettled, "InvalidInput": InvalidInput}[name](text)
+    return out
+
+
+def _levels_of(table: DataFrame) -> list[Level]:
+    rounds = {r["level"]: r["a"] for r in table.where(F.col("kind") == local.ROUNDS).collect()}
+    return [Level(_kind(table, i, local.EDGES, "src", "dst", "w"), _kind(table, i, local.MAPPING, "v", "c"), _kind(table, i, local.SUBS, "v", "s"), n) for i, n in sorted(rounds.items())]
+
+
+def _local_outcome(table: DataFrame, batch_id: int, config: RunConfig, began: float) -> Outcome:
+    told = {r["level"]: r for r in table.where(F.col("kind") == local.SUMMARY).collect()}
+    m2, state = told[0]["w"], State(_levels_of(table), batch_id, table, told[1]["w"])
+    q = told[0]["a"] / m2 - config.gamma_num / config.gamma_den * float(told[0]["b"]) / (float(m2) * m2) if m2 > 0 else 0.0
+    return Outcome(state, q, told[1]["a"], told[1]["b"], time.time() - began, resolve(config))
+
+
 def _level(edges: DataFrame, vertices: DataFrame, start: DataFrame, config: RunConfig) -> Level:
     adj, degree = materialize(graph.neighbours(edges)), materialize(graph.degrees(edges, vertices))
     m2 = graph.twice_total(edges)
@@ -81,7 +119,13 @@ def run(edges: DataFrame, vertices: DataFrame, config: RunConfig | None = None,
     if config.storage is Storage.DISK:
         edges = edges.persist(StorageLevel.DISK_ONLY)
     levels, own, mapping = [], vertices, vertices.select("v", F.col("v").alias("c"))
-    for _ in range(config.levels):
+    for n in range(config.levels):
+        if max(edges.count(), own.count()) <= config.local_edges:
+            table = _in_one_task(_rows(n, local.EDGES, edges.select("src", "dst", "w")).unionByName(_rows(n, local.MAPPING, mapping.select("v", "c"))), config, n, False)
+            if n == 0:
+                return _local_outcome(table, -1, config, began)
+            levels += _levels_of(table)
+            break
         level = _level(edges, own, mapping, config)
         levels.append(level)
         above = materialize(level.subs.select(F.col("s").alias("v")).distinct())
@@ -108,6 +152,11 @@ def maintain(state: State, delta: DataFrame, batch_id: int, config: RunConfig |
     config, began = (config or RunConfig()).checked(), time.time()
     if batch_id <= state.batch_id:
         return _outcome(state, config, began)
+    if state.table is not None:
+        delta = materialize(delta.select("src", "dst", "w"))
+        if state.n_edges + delta.count() <= config.local_edges:
+            held = state.table.where(F.col("kind").isin(local.EDGES, local.MAPPING, local.SUBS)).select("level", "kind", "a", "b", "w")
+            return _local_outcome(_in_one_task(held.unionByName(_rows(0, local.DELTA, delta)), config, 0, True), batch_id, config, began)
     num, den, levels = config.gamma_num, config.gamma_den, []
     delta = materialize(graph.compress(delta))
     present = None

@@ -1,7 +1,7 @@
 """Tables that cut lineage, written to the folder that all executors share.
 
-The folder is ``spark.checkpoint.dir`` of the session. Only where that is unset (tests, local mode) a folder
-of this process is used; on a cluster the setting must name shared storage.
+The folder is ``spark.checkpoint.dir`` of the session. Only in local mode, where one machine runs all, a folder of
+this process is used if that is unset; on a cluster the setting must name shared storage.
 """
 
 from __future__ import annotations
@@ -17,10 +17,12 @@ _MADE: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, or one of this process if none is set."""
+    """The session's checkpoint folder, or in local mode one of this process if none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="commstream-")

@@ -81,7 +81,9 @@ def test_ring_split(spark):
 
 def test_components_and_self_loops(spark):
     e = spark.createDataFrame([(5, 4), (4, 3), (9, 9), (None, 1), (8, 7)], "a long, b long")
-    assert {(r["v"], r["component"]) for r in connected_components(e).collect()} == {(3, 3), (4, 3), (5, 3), (9, 9), (7, 7), (8, 7)}
+    for small in (0, 1, 100):
+        assert {(r["v"], r["component"]) for r in connected_components(e, small_edges=small).collect()} == {(3, 3), (4, 3), (5, 3), (9, 9), (7, 7), (8, 7)}
+    assert connected_components(e.limit(0)).count() == 0
 
 
 def test_modularity_of_two_pairs(spark):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +14,8 @@ from commstream.plans import dynamic, engine, gate, quality, validate
 from commstream.sources import edges as reading
 from commstream.sources import fixtures as fx
 from commstream.sources import sinks
-from commstream.storage import materialize
+from commstream.storage import materialize, shared_dir
+from commstream.streaming import maintain as stream
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -73,14 +76,13 @@ def edge_list_parse(spark, d):
     return graph.weighted(reading.parsed(text).where("ok"))
 
 
-@_query("""SELECT count(*) AS n_edges, CAST(count(DISTINCT v) AS BIGINT) AS n_vertices, CAST(max(v) AS BIGINT) AS last FROM (
-  SELECT dense_rank() OVER (ORDER BY md5(name), name) - 1 AS v FROM (SELECT 'c' || o_custkey AS name FROM orders UNION ALL SELECT 's' || o_orderpriority FROM orders) AS n) AS x, (SELECT 1) AS y
-  HAVING true""")
+@_query("""WITH names AS (SELECT DISTINCT name FROM (SELECT 'c' || o_custkey AS name FROM orders UNION ALL SELECT 's' || o_orderpriority FROM orders) AS n),
+  ids AS (SELECT name, CAST(row_number() OVER (ORDER BY md5(name), name) - 1 AS BIGINT) AS v FROM names)
+  SELECT a.v AS src, b.v AS dst, CAST(count(*) AS BIGINT) AS n, CAST(max(t.n_ids) AS BIGINT) AS n_ids FROM orders JOIN ids a ON a.name = 'c' || o_custkey JOIN ids b ON b.name = 's' || o_orderpriority, (SELECT count(*) AS n_ids FROM ids) AS t GROUP BY 1, 2""")
 def projection_dense_ids(spark, d):
     o = fx.table(spark, d, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("a"), F.concat(F.lit("s"), "o_orderpriority").alias("b"))
-    found, _ = reading.project(o, "a", "b")
-    ends = found.select(F.explode(F.array("src", "dst")).alias("v"))
-    return ends.agg(F.count("*").alias("n_edges"), F.count_distinct("v").alias("n_vertices"), F.max("v").alias("last"))
+    found, ids = reading.project(o, "a", "b")
+    return found.groupBy("src", "dst").agg(F.count("*").alias("n")).crossJoin(F.broadcast(ids.agg(F.count("*").alias("n_ids"))))
 
 
 @_query("SELECT DISTINCT CAST(o_custkey AS BIGINT) AS v FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_nationkey < 12)")
@@ -219,10 +221,17 @@ def move_rounds_3(spark, d):
     return movement.move(e, adj, deg, f, m2, rounds=3, full=True)[0]
 
 
-@_query()
+_SOUND = "SELECT CAST((SELECT count(*) FROM documents) AS BIGINT) AS n_vertices, CAST((SELECT count(*) FROM documents) AS BIGINT) AS n_mapped"
+
+
+@_query(_SOUND + ", CAST(0 AS BIGINT) AS n_stray, 1 AS ok, 1 AS raised")
 def movement_fixpoint(spark, d):
+    """Movement until no move is left at the frontier: a sound partition of higher quality than that of lone vertices."""
     e, adj, deg, f, m2 = _doc(spark, d)
-    return movement.move(e, adj, deg, f, m2, mode=Mode.THROUGHPUT)[0]
+    deg, adj = materialize(graph.degrees(e, fx.docs(spark, d))), materialize(adj)
+    after = materialize(movement.move(e, adj, deg, f, m2, mode=Mode.THROUGHPUT)[0])
+    raised = movement.quality_numerator(e, deg, after, m2) > movement.quality_numerator(e, deg, f, m2)
+    return validate.partition_invariants(fx.docs(spark, d), after).select("n_vertices", "n_mapped", "n_stray", "ok", F.lit(int(raised)).alias("raised"))
 
 
 @_query(_DELTA + " SELECT DISTINCT unnest([d.src, d.dst]) AS v FROM delta d JOIN segments a ON a.v = d.src JOIN segments b ON b.v = d.dst WHERE (d.w > 0 AND a.c <> b.c) OR (d.w < 0 AND a.c = b.c)", "arcs", "user", "segments")
@@ -316,9 +325,15 @@ def new_sub_ids(spark, d):
     return refine.new_ids(_pieces(spark, d), 1000000)
 
 
-@_query("SELECT v, s FROM (SELECT min(v) AS v, c AS s, count(*) AS n FROM shifted GROUP BY c) AS x WHERE n = 1 OR n = -1", "shifted")
+@_query("SELECT v, v AS s FROM regions WHERE v % 3 = 0", "regions")
 def singletons(spark, d):
-    return refine.singletons(fx.shifted(spark, d).select("v", F.col("c").alias("s")))
+    return refine.singletons(fx.nations(spark, d).select("v", F.when(F.col("v") % 3 == 0, F.col("v")).otherwise(100 + F.col("v") % 2).alias("s")))
+
+
+@_query(_PIECES + " SELECT s, CAST(count(*) AS BIGINT) AS pieces FROM sized GROUP BY s HAVING count(*) > 1", "doc")
+def disconnected_subs(spark, d):
+    s = fx.sources(spark, d)
+    return validate.disconnected_subs(fx.doc_edges(spark, d), s, s.select("v", F.col("s").alias("c")))
 
 
 @_query(_DEG + " SELECT c AS s, CAST(sum(d) AS BIGINT) AS ds FROM shifted JOIN deg USING (v) GROUP BY c", "nation", "shifted")
@@ -384,31 +399,77 @@ def hierarchy_paths(spark, d):
 _FAST = RunConfig(mode=Mode.THROUGHPUT)
 
 
-@_query()
+_SPLIT_DOC = """, doc_placed AS (SELECT *, row_number() OVER (ORDER BY md5('42:' || src || ':' || dst), src, dst) - 1 AS position, count(*) OVER () AS total FROM doc_e),
+ doc_parts AS (SELECT *, CAST(floor(total * 0.8) AS BIGINT) AS first FROM doc_placed), doc_before AS (SELECT sum(w) AS w FROM doc_parts WHERE position < first), doc_after AS (SELECT sum(w) AS w FROM doc_parts)"""
+
+
+def _checks(state, vertices: DataFrame, partition: DataFrame) -> DataFrame:
+    """One row: vertices and mapped ones, weight of the lowest and of the highest level, and numbers of violations."""
+    bottom, top = state.levels[0], state.levels[-1]
+    found = [validate.conservation_violations(a.edges, a.subs, b.edges) for a, b in zip(state.levels, state.levels[1:], strict=False)]
+    superedges = sum(x.count() for x in found)
+    sums = validate.partition_invariants(vertices, partition).select("n_vertices", "n_mapped")
+    for name, level in (("w_bottom", bottom), ("w_top", top)):
+        sums = sums.crossJoin(level.edges.agg(F.sum("w").alias(name)))
+    for name, rows in (("n_nesting", validate.nesting_violations(bottom.subs, bottom.mapping)), ("n_disconnected", validate.disconnected_subs(bottom.edges, bottom.subs, bottom.mapping))):
+        sums = sums.crossJoin(rows.agg(F.count("*").alias(name)))
+    return sums.withColumn("n_superedges", F.lit(superedges).cast("long"))
+
+
+_SOUND_STATE = _SOUND + ", CAST((SELECT w FROM {w}) AS BIGINT) AS w_bottom, CAST((SELECT w FROM {w}) AS BIGINT) AS w_top, CAST(0 AS BIGINT) AS n_nesting, CAST(0 AS BIGINT) AS n_disconnected, CAST(0 AS BIGINT) AS n_superedges"
+
+
+@_query("WITH doc_whole AS (SELECT sum(w) AS w FROM doc_e) " + _SOUND_STATE.format(w="doc_whole"), "doc")
 def leiden_levels(spark, d):
-    return engine.run(fx.doc_edges(spark, d), fx.docs(spark, d), _FAST).partition()
+    """All levels of a run from scratch, checked: every vertex placed, weight kept from level to level, no violation."""
+    out = engine.run(fx.doc_edges(spark, d), fx.docs(spark, d), _FAST)
+    return _checks(out.state, fx.docs(spark, d), out.partition())
 
 
-@_query()
+@_query(_SOUND + ", CAST(0 AS BIGINT) AS n_unconnected", "doc")
 def refined_communities(spark, d):
-    return engine.run(fx.doc_edges(spark, d), fx.docs(spark, d), _FAST).state.refined()
+    """The refined sub-communities, checked: every vertex in one, none that its own edges do not connect."""
+    level = engine.run(fx.doc_edges(spark, d), fx.docs(spark, d), _FAST).state.levels[0]
+    own = level.subs.select("v", F.col("s").alias("c"))
+    loose = validate.disconnected_subs(level.edges, level.subs, own).agg(F.count("*").alias("n_unconnected"))
+    return validate.partition_invariants(fx.docs(spark, d), own).select("n_vertices", "n_mapped").crossJoin(loose)
 
 
 def _changed(spark, d):
-    parts = materialize(dynamic.split(fx.doc_edges(spark, d), 0.9, 50, 1).select("batch_id", "src", "dst", "w"))
-    before = engine.run(parts.where("batch_id < 0"), fx.docs(spark, d), _FAST)
-    return before, engine.maintain(before.state, parts.where("batch_id = 0").select("src", "dst", "w"), 0, _FAST)
+    """A run on the first 80 % of the edges, and the state after all others came as one batch."""
+    edges = materialize(fx.doc_edges(spark, d))
+    first = int(edges.count() * 0.8)
+    parts = materialize(dynamic.shuffled(edges).select("src", "dst", "w", "position"))
+    before = engine.run(parts.where(F.col("position") < first).drop("position"), fx.docs(spark, d), _FAST)
+    return before, engine.maintain(before.state, parts.where(F.col("position") >= first).drop("position"), 0, _FAST), edges
 
 
-@_query()
+@_query("WITH doc_whole AS (SELECT sum(w) AS w FROM doc_e) " + _SOUND_STATE.format(w="doc_whole") + ", 1 AS near_scratch", "doc")
 def incremental_maintain(spark, d):
-    return _changed(spark, d)[1].partition()
+    """The state after a batch of a fifth of all edges, checked, its quality within 0.05 of a run from scratch."""
+    _, after, edges = _changed(spark, d)
+    scratch = engine.run(edges, fx.docs(spark, d), _FAST)
+    return _checks(after.state, fx.docs(spark, d), after.partition()).withColumn("near_scratch", F.lit(int(abs(after.quality - scratch.quality) <= 0.05)))
 
 
-@_query()
+@_query(_SOUND + ", CAST(0 AS BIGINT) AS n_differ, CAST(0 AS BIGINT) AS n_idle")
 def change_feed(spark, d):
-    before, after = _changed(spark, d)
-    return engine.changes(before.partition(), after.partition(), 0)
+    """The feed of a batch, replayed: the old partition with the feed applied is the new one, and no row changes nothing."""
+    before, after, _ = _changed(spark, d)
+    feed = materialize(engine.changes(before.partition(), after.partition(), 0))
+    applied = before.partition().join(feed.select("v", "new"), "v", "full_outer").select("v", F.coalesce("new", "c").alias("c"))
+    sums = validate.partition_invariants(fx.docs(spark, d), applied).select("n_vertices", "n_mapped")
+    for name, rows in (("n_differ", validate.identity_violations(applied, after.partition())), ("n_idle", feed.where(F.col("old").eqNullSafe(F.col("new"))))):
+        sums = sums.crossJoin(rows.agg(F.count("*").alias(name)))
+    return sums
+
+
+@_query("""WITH own AS (SELECT src, dst, w FROM nation_e WHERE src <> dst), inner_e AS (SELECT src AS v, w FROM own JOIN regions a ON a.v = src JOIN regions b ON b.v = dst WHERE a.c = b.c UNION ALL SELECT dst, w FROM own JOIN regions a ON a.v = src JOIN regions b ON b.v = dst WHERE a.c = b.c),
+ tie AS (SELECT v, sum(w) AS tie FROM inner_e GROUP BY v), dg AS (SELECT v, CAST(sum(w) AS BIGINT) AS d FROM (SELECT src AS v, w FROM nation_e UNION ALL SELECT dst, w FROM nation_e) AS a GROUP BY v), m AS (SELECT CAST(2 * sum(w) AS BIGINT) AS m2 FROM nation_e),
+ dc AS (SELECT c, sum(d) AS dc FROM regions JOIN dg USING (v) GROUP BY c), loose AS (SELECT c, max(CASE WHEN m2 * coalesce(tie, 0) < d * (dc - d) THEN 1 ELSE 0 END) AS loose FROM regions JOIN dg USING (v) JOIN dc USING (c) LEFT JOIN tie USING (v) CROSS JOIN m GROUP BY c)
+ SELECT round(avg(1 - loose), 6) AS dense_share FROM loose""", "nation", "regions")
+def dense_share(spark, d):
+    return quality.dense_share(materialize(fx.nation_edges(spark, d)), fx.regions(spark, d)).select(F.round("dense_share", 6).alias("dense_share"))
 
 
 # --- changing graphs, metrics, gate ---------------------------------------------------------------------------------
@@ -457,9 +518,58 @@ def benchmark_summary(spark, d):
     return s.select("incremental_ms", "scratch_ms", *[F.round(c, 6).alias(c) for c in ("mean_speedup", "total_speedup", "median_speedup")])
 
 
-@_query()
+@_query(_SPLIT + _METRICS + ", heads AS (SELECT CAST(count(*) AS BIGINT) AS n_batches, CAST(sum(n_edges) AS BIGINT) AS edges_added_all FROM totals) SELECT n_batches, edges_added_all, batch_idx, n_edges AS edges_added, total_edges, CAST(a AS DOUBLE) AS incremental_ms, CAST(b AS DOUBLE) AS scratch_ms FROM metrics, heads", "arcs", "user")
 def batch_metrics_json(spark, d):
-    return sinks.metrics_json(_metrics(spark, d), "user", {"ratio": "0.8", "batch": "50"})
+    """The JSON report, read back."""
+    told = sinks.metrics_json(_metrics(spark, d), "user", {"ratio": "0.8", "batch": "50"})
+    kind = "struct<dataset:string,setup:map<string,string>,summary:struct<n_batches:bigint,edges_added:bigint>,batches:array<struct<batch_idx:bigint,edges_added:bigint,total_edges:bigint,incremental_ms:double,scratch_ms:double>>>"
+    read = told.select(F.from_json("value", kind).alias("r"))
+    return read.select("r.summary.n_batches", F.col("r.summary.edges_added").alias("edges_added_all"), F.inline("r.batches"))
+
+
+@_query(_SPLIT + ", users AS (SELECT count(DISTINCT user_id) AS n FROM events), sums AS (SELECT batch_id, total_edges, CAST(sum(w) AS BIGINT) AS w FROM parts JOIN totals USING (batch_id) GROUP BY 1, 2) SELECT batch_id AS batch_idx, n_edges AS edges_added, total_edges, CAST((SELECT n FROM users) AS BIGINT) AS nodes_in_graph, 1 AS sound FROM totals WHERE batch_id >= 0", "arcs", "user")
+def replay(spark, d):
+    """The replay of batches; times are left out, sound where the quality is one and both sides took time."""
+    rows = dynamic.replay(_parts(spark, d), fx.users(spark, d), _FAST)
+    sound = F.col("modularity").between(-0.5, 1) & (F.col("incremental_ms") > 0) & (F.col("scratch_ms") > 0) & (F.abs(F.col("speedup") - F.col("scratch_ms") / F.col("incremental_ms")) < 1e-6)
+    return rows.select("batch_idx", "edges_added", "total_edges", "nodes_in_graph", sound.cast("int").alias("sound"))
+
+
+@_query(_SPLIT + _METRICS + " SELECT round(CAST(median(CAST(b AS DOUBLE) / CAST(a AS DOUBLE)) AS DOUBLE), 6) AS median_gain, CAST(count(*) AS BIGINT) AS n_batches, CASE WHEN median(CAST(b AS DOUBLE) / CAST(a AS DOUBLE)) >= 2 THEN 1 ELSE 0 END AS reaches, 0 AS eligible, 'LIVE_QUERY_SOURCE_INELIGIBLE_FOR_RELEASE_GATE' AS reason FROM metrics", "arcs", "user")
+def compare_baseline(spark, d):
+    m = materialize(_metrics(spark, d))
+    row = gate.compare_baseline(m.select("batch_idx", F.col("scratch_ms").alias("seconds")), m.select("batch_idx", F.col("incremental_ms").alias("seconds")), "p1", True, "live")
+    return row.select(F.round("median_gain", 6).alias("median_gain"), "n_batches", "reaches", "eligible", "reason")
+
+
+def _streamed(stream: DataFrame) -> DataFrame:
+    """All rows of an aggregated stream once its input is read."""
+    spark, name = stream.sparkSession, f"counts_{uuid.uuid4().hex}"
+    query = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{shared_dir(spark)}/{name}").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.table(name)
+
+
+def _deltas(spark, d):
+    """Events as a stream of edge changes from each user to a type, some with weight."""
+    kind = spark.read.parquet(f"{d}/events.parquet").schema
+    e = spark.readStream.schema(kind).option("pathGlobFilter", "events.parquet").parquet(d)
+    return e.select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("src"), F.length("event_type").cast("long").alias("dst"), (F.col("event_id") % 3).alias("w"))
+
+
+@_query("SELECT CAST(user_id AS BIGINT) AS src, CAST(length(event_type) AS BIGINT) AS dst, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id % 3) AS BIGINT) AS w FROM events GROUP BY 1, 2")
+def stream_edge_counts(spark, d):
+    return _streamed(_deltas(spark, d).groupBy("src", "dst").agg(F.count("*").alias("n"), F.sum("w").alias("w")))
+
+
+@_query("SELECT strftime(time_bucket(INTERVAL 6 HOURS, ts), '%Y-%m-%d %H:%M') AS start, CAST(sum(event_id % 3) AS BIGINT) AS w, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1")
+def stream_windows(spark, d):
+    return _streamed(stream.windowed_counts(_deltas(spark, d), "6 hours")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "w", "n")
+
+
+@_query("SELECT strftime(s, '%Y-%m-%d %H:%M') AS start, CAST(sum(w) AS BIGINT) AS w, CAST(count(*) AS BIGINT) AS n FROM (SELECT time_bucket(INTERVAL 3 HOURS, ts) - to_hours(3 * k) AS s, event_id % 3 AS w FROM events, (VALUES (0), (1)) AS t(k)) AS x GROUP BY 1")
+def stream_sliding_windows(spark, d):
+    return _streamed(stream.windowed_counts(_deltas(spark, d), "6 hours", slide="3 hours")).select(F.date_format("window.start", "yyyy-MM-dd HH:mm").alias("start"), "w", "n")
 
 
 @_query("""SELECT profile_id, pinned, source, CASE WHEN NOT pinned THEN 0 WHEN source = 'live' THEN 0 ELSE 1 END AS eligible, CASE WHEN NOT pinned THEN 'UNPINNED_HARDWARE_PROFILE' WHEN source = 'live' THEN 'LIVE_QUERY_SOURCE_INELIGIBLE_FOR_RELEASE_GATE' END AS reason

@@ -54,13 +54,16 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that share lines of 20 characters or more; lines that more than 50 documents hold tell nothing."""
+    """Documents that share lines: all pairs of the holders of a line, or where more than 50 documents hold it, a
+    star around the smallest of them."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
-    lines = d.select("doc_id", F.md5(F.trim("line")).alias("line"), F.length(F.trim("line")).alias("n")).where("n >= 20").select("doc_id", "line").distinct()
-    shared = lines.groupBy("line").agg(F.count("*").alias("n")).where("n between 2 and 50").select("line")
+    lines = d.select("doc_id", F.trim("line").alias("line")).where("line <> ''").select("doc_id", F.md5("line").alias("line")).distinct()
+    shared = lines.groupBy("line").agg(F.count("*").alias("n"), F.min("doc_id").alias("least")).where("n >= 2")
     held = lines.join(shared, "line")
-    pairs = held.select("line", F.col("doc_id").alias("src")).join(held.select("line", F.col("doc_id").alias("dst")), "line").where("src < dst")
-    return pairs.groupBy("src", "dst").agg(F.count("*").alias("w"))
+    few = held.where("n <= 50")
+    pairs = few.select("line", F.col("doc_id").alias("src")).join(few.select("line", F.col("doc_id").alias("dst")), "line").where("src < dst").select("src", "dst")
+    star = held.where("n > 50 and doc_id > least").select(F.col("least").alias("src"), F.col("doc_id").alias("dst"))
+    return pairs.unionByName(star).groupBy("src", "dst").agg(F.count("*").alias("w"))
 
 
 def docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -82,8 +85,9 @@ SQL = {
     "arcs": """arcs AS (SELECT src, dst FROM (SELECT CAST(user_id AS BIGINT) AS src, CAST(lead(user_id) OVER (PARTITION BY CAST(ts AS DATE), event_type ORDER BY ts, event_id) AS BIGINT) AS dst FROM events) AS a WHERE dst IS NOT NULL AND src <> dst)""",
     "user": "user_e AS (SELECT least(src, dst) AS src, greatest(src, dst) AS dst, CAST(count(*) AS BIGINT) AS w FROM arcs GROUP BY 1, 2)",
     "segments": "segments AS (SELECT DISTINCT CAST(user_id AS BIGINT) AS v, CAST(user_id % 7 AS BIGINT) AS c FROM events)",
-    "doc": """doc_lines AS (SELECT DISTINCT doc_id, md5(trim(line)) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS l WHERE length(trim(line)) >= 20),
-      doc_shared AS (SELECT line FROM doc_lines GROUP BY line HAVING count(*) BETWEEN 2 AND 50),
-      doc_held AS (SELECT doc_id, line FROM doc_lines JOIN doc_shared USING (line)),
-      doc_e AS (SELECT a.doc_id AS src, b.doc_id AS dst, CAST(count(*) AS BIGINT) AS w FROM doc_held a JOIN doc_held b ON a.line = b.line AND a.doc_id < b.doc_id GROUP BY 1, 2)""",
+    "doc": """doc_lines AS (SELECT DISTINCT doc_id, md5(trim(line)) AS line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) AS l WHERE trim(line) <> ''),
+      doc_shared AS (SELECT line, count(*) AS n, min(doc_id) AS least FROM doc_lines GROUP BY line HAVING count(*) >= 2),
+      doc_held AS (SELECT doc_id, line, n, least FROM doc_lines JOIN doc_shared USING (line)),
+      doc_pairs AS (SELECT a.doc_id AS src, b.doc_id AS dst FROM doc_held a JOIN doc_held b ON a.line = b.line AND a.doc_id < b.doc_id WHERE a.n <= 50 UNION ALL SELECT least, doc_id FROM doc_held WHERE n > 50 AND doc_id > least),
+      doc_e AS (SELECT src, dst, CAST(count(*) AS BIGINT) AS w FROM doc_pairs GROUP BY 1, 2)""",
 }

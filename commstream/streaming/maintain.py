@@ -22,9 +22,9 @@ def once(deltas: DataFrame, late: str = "1 hour") -> DataFrame:
     return deltas.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def windowed_counts(deltas: DataFrame, width: str = "1 hour", late: str = "1 hour") -> DataFrame:
-    """Weight by event-time window."""
-    return deltas.withWatermark("ts", late).groupBy(F.window("ts", width)).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+def windowed_counts(deltas: DataFrame, width: str = "1 hour", late: str = "1 hour", slide: str | None = None) -> DataFrame:
+    """Weight by event-time window; with slide, windows overlap."""
+    return deltas.withWatermark("ts", late).groupBy(F.window("ts", width, slide)).agg(F.sum("w").alias("w"), F.count("*").alias("n"))
 
 
 class Maintainer:

@@ -265,8 +265,10 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     reps = materialize(rows.where("n > 0").join(firsts, ["key", *sign]).dropDuplicates(["v"]))
 
     incidence = reps.select("v", "n", F.explode("prefix").alias("h"))
-    column = incidence.groupBy("h").agg(F.min("v").alias("hub"), F.max("v").alias("top")).where("hub <> top").select("h", "hub")
-    cells = materialize(incidence.join(materialize(column), "h").select("h", "v", "n", "hub"))
+    column = materialize(incidence.groupBy("h").agg(F.min("v").alias("hub"), F.max("v").alias("top"), F.count("*").alias("rows")).where("hub <> top"))
+    # Columns of very common shingles are few, and joined without a shuffle of their cells.
+    wide_from = skew.hot_rows(int(column.agg(F.sum("rows")).first()[0] or 0))
+    cells = materialize(skew.join_by_key(incidence, column.select("h", "hub"), ["h"], column.where(F.col("rows") >= wide_from)).select("h", "v", "n", "hub"))
 
     known = reps.select("v", "n", "wide")
 
@@ -302,7 +304,8 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
         """Cells of columns that still hold several components."""
         now = cells.join(comps, "v", "left").select("h", "v", "n", F.coalesce("component", "v").alias("comp"))
         several = now.groupBy("h").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count("*").alias("rows")).where("lo <> hi").select("h", "rows")
-        return materialize(now.join(several, "h"))
+        several = materialize(several)
+        return materialize(skew.join_by_key(now, several, ["h"], several.where(F.col("rows") >= wide_from)))
 
     left = open_cells()
     for r in range(1, hub_rounds):

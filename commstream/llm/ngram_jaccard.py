@@ -311,8 +311,9 @@ def jaccard_components(docs: DataFrame, k: int = 5, num: int = 4, den: int = 5,
     for r in range(1, hub_rounds):
         if left.isEmpty():
             break
-        hub = left.groupBy("h").agg(F.min_by(F.struct("v", "comp", F.col("n").alias("m")), F.xxhash64(F.lit(r), "h", "v")).alias("hub"))
-        tried = left.join(hub.select("h", "hub.v", "hub.comp", "hub.m").toDF("h", "hub", "hub_comp", "m"), "h").where("comp <> hub_comp").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
+        hub = left.groupBy("h").agg(F.max("rows").alias("rows"), F.min_by(F.struct("v", "comp", F.col("n").alias("m")), F.xxhash64(F.lit(r), "h", "v")).alias("hub"))
+        hub = materialize(hub.select("h", "rows", "hub.v", "hub.comp", "hub.m").toDF("h", "rows", "hub", "hub_comp", "m"))
+        tried = skew.join_by_key(left.drop("rows"), hub.drop("rows"), ["h"], hub.where(F.col("rows") >= wide_from)).where("comp <> hub_comp").where(f"least(n, m) * {den} >= greatest(n, m) * {num}")
         pairs = tried.select(F.least("v", "hub").alias("a"), F.greatest("v", "hub").alias("b")).distinct()
         pairs = materialize(pairs.join(done, ["a", "b"], "left_anti"))
         done = done.unionByName(pairs)

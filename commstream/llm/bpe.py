@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 
 from commstream.llm import textkit as tk
 
-CACHE_CHUNKS = 200_000
-RECURRING_CHUNKS = 110_000
+CACHE_CHUNKS = 60_000
+RECURRING_CHUNKS = 33_000
 BATCH_WIDTHS = (4, 8, 16, 32)
 NONE = np.int64(1 << 62)
 #: A character that is treated by the library; all others are alike in every version of Unicode (a test walks them all).
@@ -318,7 +318,9 @@ class Bpe:
 
 @functools.lru_cache(2)
 def load(path: str) -> Bpe:
-    return Bpe(path)
+    found = Bpe(path)
+    tk.release_memory()  # what the file took to parse
+    return found
 
 
 def _encode(path: str, digests: bool):

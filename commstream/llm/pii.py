@@ -402,7 +402,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     counts = ", ".join(f"n_{k} long" for k in KINDS)
-    return texts.mapInArrow(_find(model()), f"id long, {counts}, base string, spans string").withColumnRenamed("id", id_col)
+    return texts.mapInArrow(tk.released(_find(model())), f"id long, {counts}, base string, spans string").withColumnRenamed("id", id_col)
 
 
 def mask(text: str | None, weights: tuple | None = None) -> str | None:
@@ -429,7 +429,7 @@ def mask_pii(docs: DataFrame, text_col: str = "text") -> DataFrame:
             own = pa.array([mask(t, weights) for t in batch.column(at).to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([own if i == at else batch.column(i) for i in range(batch.num_columns)], names=batch.schema.names)
 
-    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(run, docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
+    return docs.withColumn(text_col, F.col(text_col).cast("string")).mapInArrow(tk.released(run), docs.withColumn(text_col, F.col(text_col).cast("string")).schema)
 
 
 def op1_pii(spark, sf_dir: str) -> DataFrame:

@@ -327,7 +327,7 @@ def _encode(path: str, digests: bool):
     def run(batches):
         bpe = load(path)
         try:
-            for batch in tk.slices(batches, limit=2 << 20):
+            for batch in tk.slices(batches, limit=512 << 10):
                 done = bpe.encode_texts(batch.column(1).to_pylist())
                 ids, n, text = ([x[i] for x in done] for i in range(3))
                 if digests:

@@ -13,7 +13,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import SparkSession
 
+BATCH_BYTES = 4 << 20
+BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
 SLICE_BYTES = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -63,6 +66,15 @@ def released(run):
     return whole
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let the session send rows to Python in batches of BATCH_BYTES (one row may be longer); its own setting stays.
+
+    Unset, a batch may hold 64 MB, in the executor's JVM and in its worker.
+    """
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches into runs of rows whose texts hold at most limit bytes; a longer text stands alone."""
     for batch in batches:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commstream.llm import bpe, language_id, mixing, ngram_jaccard, pii
+from commstream.llm import bpe, language_id, mixing, ngram_jaccard, pii, textkit
 from commstream.storage import materialize
 
 LEAST_LANGUAGE_SCORE = 0.3
@@ -23,6 +23,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Learned from the documents that have a language and from NOISE_ROWS generated texts in none. Where no document has
     a language, all with a letter stay. Repeated rows stay as often as they come.
     """
+    textkit.bound_batches(spark)
     return language_id.keep_identified(docs, language_id.train(docs, noise_rows=NOISE_ROWS), LEAST_LANGUAGE_SCORE)
 
 
@@ -45,6 +46,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is masked; n_chars follows. Null texts stay null, repeated rows are masked alike."""
+    textkit.bound_batches(spark)
     masked = pii.mask_pii(docs)
     return masked.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
@@ -56,6 +58,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document of the mix, and the number of characters that decode from them."""
+    textkit.bound_batches(spark)
     out = bpe.encode_documents(docs, bpe.default_path())
     return out.select("doc_id", "n_tokens", "ids", F.length("decoded").cast("long").alias("decoded_chars"))
 

@@ -6,7 +6,7 @@ from test_ngram_jaccard import expected, noisy, words
 from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
-from commstream.llm import bpe, language_id, mixing, pii
+from commstream.llm import bpe, language_id, mixing, pii, textkit
 from commstream.storage import materialize
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, size long, own string, w int, d int, s string, row string, copy int"
@@ -86,3 +86,15 @@ def test_empty_table_and_no_labels(spark):
         assert stage(spark, empty, "").count() == 0
     unlabelled = docs.selectExpr("doc_id", "text", "cast(null as string) AS lang", "source", "n_chars")
     assert cp.language_stage(spark, unlabelled, "").count() == docs.where("text rlike '[A-Za-z]'").count() + sum(any(c.isalpha() for c in t) and not any(c.isascii() and c.isalpha() for c in t) for t in language_id.noise(10, seed=5))
+
+
+def test_arrow_batches_are_bounded_unless_the_session_says_otherwise(spark):
+    try:
+        spark.conf.unset(textkit.BATCH_SETTING)
+        textkit.bound_batches(spark)
+        assert spark.conf.get(textkit.BATCH_SETTING) == str(textkit.BATCH_BYTES)
+        spark.conf.set(textkit.BATCH_SETTING, "1048576")
+        textkit.bound_batches(spark)
+        assert spark.conf.get(textkit.BATCH_SETTING) == "1048576"
+    finally:
+        spark.conf.unset(textkit.BATCH_SETTING)

@@ -74,6 +74,12 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return texts.mapInArrow(_print, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
+def _free_shuffles(spark) -> None:
+    """Let go of shuffles that nothing reads any more: Spark deletes their files when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def block_tables(radius: int) -> list[int]:
     """Masks of the bits that a table is keyed by: radius + 2 blocks, of which prints within the radius share some two."""
     cuts = [BITS * i // (radius + 2) for i in range(radius + 3)]
@@ -150,8 +156,7 @@ def near_classes(prints: DataFrame, radius: int = RADIUS, print_col: str = "fing
         cells = own.select(F.explode(F.array(*keys)).alias("key"), F.lit(-1).cast("long").alias("block"), "hi", "lo", "v")
         out.append(materialize(cells.repartition(count, "key").mapInArrow(_compare(radius, most), schema)))
         del cells
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()  # Spark deletes the files of a shuffle when the driver's garbage is collected
+        _free_shuffles(spark)
     found = functools.reduce(DataFrame.unionByName, out)
     links, hot = found.where("blocks < 0").select("a", "b"), found.where("blocks > 0")
     if not hot.isEmpty():
@@ -220,7 +225,6 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     smallest id of the documents with the same fingerprint, component_id that of all linked within RADIUS.
     """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    placed = near_classes(materialize(fingerprint_documents(docs))).select(F.unhex("print").alias("fingerprint"), "class_id", "component_id")
     texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NULL_ID)).alias("key"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     order = materialize(_next_ids(texts.select("key")))
     sizes = texts.select("key", F.length("text").alias("n")).groupBy("key").agg((F.max("n") / 4).cast("int").alias("need"))
@@ -228,6 +232,10 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     heads = texts.join(needs, "key").select(F.col("before").alias("key"), "text", "need").mapInArrow(_heads, "key long, head string, next binary")
     heads = heads.groupBy("key").agg(F.min(F.struct("head", "next")).alias("x")).select("key", "x.head", "x.next")
     made = texts.join(heads, "key").select("key", "text", "head", "next").mapInArrow(_edited, "key long, n_chars long, edited_sha256 binary, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double")
-    made = made.join(placed, "fingerprint").select(*made.columns, "class_id", "component_id")
     as_hex = [F.lower(F.hex(c)).alias(c) if c in ("edited_sha256", "fingerprint", "edited_fingerprint") else F.col(c) for c in made.columns[1:]]
-    return made.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), *as_hex)
+    # The table is written first, so that the shuffle of all texts is gone before those of the block tables begin.
+    made = materialize(made.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), *as_hex))
+    del texts, heads
+    _free_shuffles(spark)
+    placed = near_classes(made).withColumnRenamed("print", "fingerprint")
+    return made.join(placed, "fingerprint").select(*made.columns, "class_id", "component_id")

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commstream.llm import textkit as tk
+from commstream.llm.skew import hot_rows, join_by_key
 from commstream.operators.components import connected_components
 from commstream.storage import materialize
 
@@ -167,9 +168,10 @@ def near_classes(prints: DataFrame, radius: int = RADIUS, print_col: str = "fing
         more = materialize(cells.repartition(count, "key").mapInArrow(_compare(radius, 1 << 62), schema))
         links = links.unionByName(more.select("a", "b"))
     comps = connected_components(links)
-    placed = own.join(comps, "v", "left").select("print", "rep", F.coalesce("component", "v").alias("c"))
-    least = placed.groupBy("c").agg(F.min("rep").alias("component_id"))
-    return materialize(placed.join(least, "c").select("print", F.col("rep").alias("class_id"), "component_id"))
+    placed = materialize(own.join(comps, "v", "left").select("print", "rep", F.coalesce("component", "v").alias("c")))
+    least = materialize(placed.groupBy("c").agg(F.min("rep").alias("component_id"), F.count("*").alias("n")))
+    hot = least.where(F.col("n") >= hot_rows(placed.count()))
+    return materialize(join_by_key(placed, least.drop("n"), ["c"], hot).select("print", F.col("rep").alias("class_id"), "component_id"))
 
 
 def near_fingerprints(prints: DataFrame, radius: int = RADIUS, id_col: str = "doc_id", print_col: str = "fingerprint", most: int = 2048) -> DataFrame:
@@ -238,4 +240,7 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     del texts, heads
     _free_shuffles(spark)
     placed = near_classes(made).withColumnRenamed("print", "fingerprint")
-    return made.join(placed, "fingerprint").select(*made.columns, "class_id", "component_id")
+    copies = made.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows(made.count()))
+    hot = placed.join(materialize(copies.select("fingerprint")), "fingerprint").select(*placed.columns)
+    out = join_by_key(made, placed, ["fingerprint"], materialize(hot))
+    return out.select(*made.columns, "class_id", "component_id")

@@ -9,6 +9,9 @@ right: at a window with an earlier copy, the factor runs on for as long as the c
 reference. Factors of window length or more are duplicate spans; windows that begin in a factor's last words and
 have their copy elsewhere are looked up again, so no repeat across a factor's boundary is missed. The spans together
 are exactly the words that windows with an earlier copy cover.
+
+Anchors only choose what is looked up. Windows and chunks are known by two hashes of 64 bits each, of the words' 64-bit
+hashes, and a document takes a row of the index only if its own words give both.
 """
 
 from __future__ import annotations
@@ -21,10 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commstream.llm import textkit as tk
+from commstream.llm.skew import hot_rows, join_by_key
 from commstream.storage import materialize
 
 NULL_ID = -(1 << 63)
 GRAM = 8
+SECOND = np.uint64(0xD1B54A32D192ED03)
 
 
 def _windows(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -39,6 +44,11 @@ def _windows(words: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     return tk.run_hashes(words, window), np.minimum(low[:n], low[wide - span : wide - span + n]), grams
 
 
+def _second(words: np.ndarray, window: int) -> np.ndarray:
+    """By first word: another hash of each window, from other values of its words."""
+    return tk.run_hashes(tk.mix(words ^ SECOND), window)
+
+
 def _bounds(first: np.ndarray, window: int) -> list[tuple[int, int]]:
     """Each text's first window and the end of its windows, among those of all words of a slice."""
     return list(zip(first[:-1].tolist(), np.maximum(first[:-1], first[1:] - window + 1).tolist(), strict=True))
@@ -81,13 +91,15 @@ def _anchors(window: int):
 
 
 def _may_repeat(window: int):
-    """chunk (its hash), key, pos and the hashes of its windows, for chunks whose anchor stands in the document's list."""
+    """chunk and check (its hashes), key, pos and both hashes of its windows, for chunks whose anchor stands in the document's list."""
 
     def run(batches):
         for batch in tk.slices(batches):
             data, offsets = tk.text_bytes(batch.column(1))
             starts, ends, first = tk.word_spans(data, offsets)
-            whole, low, grams = _windows(tk.word_hashes(data, starts, ends), window)
+            words = tk.word_hashes(data, starts, ends)
+            whole, low, grams = _windows(words, window)
+            other = _second(words, window)
             new, keys, own = _starts(low, grams, window), batch.column(0).to_numpy(), batch.column(2)
             listed, cuts = np.asarray(own.flatten()).view(np.uint64), np.concatenate([[0], np.cumsum(own.value_lengths().to_numpy())])
             heads, tails, key, pos = [], [], [], []
@@ -105,12 +117,12 @@ def _may_repeat(window: int):
             if not heads:
                 continue
             head, tail = np.concatenate(heads), np.concatenate(tails)
-            n, raw = tail - head, whole.view(np.int64)
+            n = tail - head
             ends_at = np.concatenate([[0], np.cumsum(n)])
-            held = raw[np.repeat(head - ends_at[:-1], n) + np.arange(ends_at[-1])]
-            hashes = pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(held))
-            chunk = _span(whole[head], whole[tail - 1], n).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(chunk), pa.array(np.concatenate(key)), pa.array(np.concatenate(pos).astype(np.int32)), hashes], names=["chunk", "key", "pos", "hashes"])
+            held = np.repeat(head - ends_at[:-1], n) + np.arange(ends_at[-1])
+            lists = [pa.ListArray.from_arrays(pa.array(ends_at.astype(np.int32)), pa.array(x.view(np.int64)[held])) for x in (whole, other)]
+            names = [pa.array(_span(x[head], x[tail - 1], n).view(np.int64)) for x in (whole, other)]
+            yield pa.RecordBatch.from_arrays([*names, pa.array(np.concatenate(key)), pa.array(np.concatenate(pos).astype(np.int32)), *lists], names=["chunk", "check", "key", "pos", "hashes", "checks"])
 
     return run
 
@@ -135,18 +147,20 @@ def _remove(window: int, keep_text: bool):
             data, offsets = tk.text_bytes(batch.column(1))
             starts, ends, first = tk.word_spans(data, offsets)
             raw = data.tobytes()
-            every = tk.run_hashes(tk.word_hashes(data, starts, ends), window)
+            words = tk.word_hashes(data, starts, ends)
+            every, second = tk.run_hashes(words, window), _second(words, window)
             found, out = batch.column(2), {"key": batch.column(0), "n_words": [], "n_removed": [], "n_factors": [], "spans": [], "kept": []}
             for i in range(batch.num_rows):
                 lo, hi = int(first[i]), int(first[i + 1])
                 gone, factors = np.zeros(hi - lo + 1, np.int64), []
                 if found[i].is_valid and len(found[i]):
                     rows = found[i].values
-                    h, pos, n, ref, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("h", "pos", "n", "ref", "at"))
-                    whole = every[lo : max(lo, hi - window + 1)]
+                    h, check, pos, n, ref, at = (rows.field(c).to_numpy(zero_copy_only=False) for c in ("h", "check", "pos", "n", "ref", "at"))
                     order = np.argsort(pos, kind="stable")
-                    order = order[pos[order] + n[order] <= len(whole)]
-                    order = order[_span(whole[pos[order]], whole[pos[order] + n[order] - 1], n[order]).view(np.int64) == h[order]]
+                    order = order[pos[order] + n[order] <= hi - window + 1 - lo]
+                    for own, given in ((every, h), (second, check)):
+                        whole = own[lo : max(lo, hi - window + 1)]
+                        order = order[_span(whole[pos[order]], whole[pos[order] + n[order] - 1], n[order]).view(np.int64) == given[order]]
                     step = np.arange(n[order].sum()) - np.repeat(np.cumsum(n[order]) - n[order], n[order])
                     pos, ref, at = np.repeat(pos[order], n[order]) + step, np.repeat(ref[order], n[order]), np.repeat(at[order], n[order]) + step
                     resort = np.argsort(pos, kind="stable")
@@ -171,6 +185,12 @@ def _remove(window: int, keep_text: bool):
     return run
 
 
+def _hot(counted: DataFrame) -> DataFrame:
+    """The rows of a table of keys whose count n is a large share of all counts, without n."""
+    total = counted.agg(F.sum("n")).first()[0] or 0
+    return counted.where(F.col("n") >= hot_rows(total)).drop("n")
+
+
 def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """(id_col, n_words, n_removed, n_factors, spans, kept), a row for each row of docs.
 
@@ -181,21 +201,25 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     each other. Extra columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
+    spark, by = docs.sparkSession, ["chunk", "check"]
     listed = materialize(texts.mapInArrow(_anchors(window), "key long, anchors array<long>"))
     anchors = listed.select("key", F.explode("anchors").alias("anchor"))
-    again = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor"))
-    own = anchors.join(again, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
-    chunks = materialize(texts.join(own, "key").mapInArrow(_may_repeat(window), "chunk long, key long, pos int, hashes array<long>"))
-    place = chunks.groupBy("chunk").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("chunk", "ref")
-    placed = chunks.join(materialize(place), "chunk", "left")
+    again = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
+    own = join_by_key(anchors, again.select("anchor"), ["anchor"], _hot(again)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
+    chunks = materialize(texts.join(own, "key").mapInArrow(_may_repeat(window), "chunk long, check long, key long, pos int, hashes array<long>, checks array<long>"))
+    place = materialize(chunks.groupBy(*by).agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1"))
+    placed = join_by_key(chunks, place.drop("n"), by, _hot(place), "left")
     copied = F.coalesce(F.struct("key", "pos") > F.col("ref"), F.lit(False))
     # A later copy of a chunk needs its place alone; the first one its windows.
-    placed = materialize(placed.select("chunk", "key", "pos", F.size("hashes").alias("n"), F.when(copied, F.col("ref")).alias("ref"), F.when(~copied, F.col("hashes")).alias("hashes")))
-    rows = placed.where("ref is null").select("key", "pos", F.posexplode("hashes").alias("o", "h")).select("h", "key", (F.col("pos") + F.col("o")).alias("pos"))
-    place = rows.groupBy("h").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1").select("h", "ref")
-    windows = rows.join(materialize(place), "h").where(F.struct("key", "pos") > F.col("ref")).withColumn("n", F.lit(1))
-    later = placed.where("ref is not null").select(F.col("chunk").alias("h"), "key", "pos", "ref", "n").unionByName(windows.select("h", "key", "pos", "ref", "n"))
-    later = later.select("key", F.struct("h", "pos", "n", F.col("ref.key").alias("ref"), F.col("ref.pos").alias("at")).alias("row"))
+    held = F.when(~copied, F.arrays_zip("hashes", "checks")).alias("windows")
+    placed = materialize(placed.select(*by, "key", "pos", F.size("hashes").alias("n"), F.when(copied, F.col("ref")).alias("ref"), held))
+    rows = placed.where("ref is null").select("key", "pos", F.posexplode("windows").alias("o", "w"))
+    rows = rows.select(F.col("w.hashes").alias("h"), F.col("w.checks").alias("check"), "key", (F.col("pos") + F.col("o")).alias("pos"))
+    place = materialize(rows.groupBy("h", "check").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1"))
+    windows = join_by_key(rows, place.drop("n"), ["h", "check"], _hot(place)).where(F.struct("key", "pos") > F.col("ref")).withColumn("n", F.lit(1))
+    names = ["h", "check", "key", "pos", "ref", "n"]
+    later = placed.where("ref is not null").withColumnRenamed("chunk", "h").select(*names).unionByName(windows.select(*names))
+    later = later.select("key", F.struct("h", "check", "pos", "n", F.col("ref.key").alias("ref"), F.col("ref.pos").alias("at")).alias("row"))
     found = later.groupBy("key").agg(F.collect_list("row").alias("rows"))
     done = texts.join(found, "key", "left").mapInArrow(_remove(window, keep_text), "key long, n_words long, n_removed long, n_factors long, spans string, kept string")
     return done.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias(id_col), "n_words", "n_removed", "n_factors", "spans", "kept")

@@ -8,7 +8,6 @@ bit is set where the votes are positive. Repeated terms vote each time.
 from __future__ import annotations
 
 import functools
-import gc
 import hashlib
 from itertools import combinations
 
@@ -18,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commstream.llm import textkit as tk
-from commstream.llm.skew import hot_rows, join_by_key
+from commstream.llm.skew import free_shuffles, hot_rows, join_by_key
 from commstream.operators.components import connected_components
 from commstream.storage import materialize
 
@@ -75,12 +74,6 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     return texts.mapInArrow(_print, "id long, fingerprint string").withColumnRenamed("id", id_col)
 
 
-def _free_shuffles(spark) -> None:
-    """Let go of shuffles that nothing reads any more: Spark deletes their files when the driver's garbage is collected."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def block_tables(radius: int) -> list[int]:
     """Masks of the bits that a table is keyed by: radius + 2 blocks, of which prints within the radius share some two."""
     cuts = [BITS * i // (radius + 2) for i in range(radius + 3)]
@@ -157,7 +150,7 @@ def near_classes(prints: DataFrame, radius: int = RADIUS, print_col: str = "fing
         cells = own.select(F.explode(F.array(*keys)).alias("key"), F.lit(-1).cast("long").alias("block"), "hi", "lo", "v")
         out.append(materialize(cells.repartition(count, "key").mapInArrow(_compare(radius, most), schema)))
         del cells
-        _free_shuffles(spark)
+        free_shuffles(spark)
     found = functools.reduce(DataFrame.unionByName, out)
     links, hot = found.where("blocks < 0").select("a", "b"), found.where("blocks > 0")
     if not hot.isEmpty():
@@ -238,7 +231,7 @@ def op10_simhash(spark, sf_dir: str) -> DataFrame:
     # The table is written first, so that the shuffle of all texts is gone before those of the block tables begin.
     made = materialize(made.select(F.when(F.col("key") != NULL_ID, F.col("key")).alias("doc_id"), *as_hex))
     del texts, heads
-    _free_shuffles(spark)
+    free_shuffles(spark)
     placed = near_classes(made).withColumnRenamed("print", "fingerprint")
     copies = made.groupBy("fingerprint").agg(F.count("*").alias("n")).where(F.col("n") >= hot_rows(made.count()))
     hot = placed.join(materialize(copies.select("fingerprint")), "fingerprint").select(*placed.columns)

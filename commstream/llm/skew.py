@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import gc
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A key is hot from this share of all rows on, so there are at most so many hot keys.
@@ -24,3 +26,9 @@ def join_by_key(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame
     few = F.broadcast(hot.select(*table.columns).withColumn("_hot", F.lit(True)))
     rest = rows.join(F.broadcast(hot.select(*on)), on, "left_anti").join(table, on, how)
     return rows.join(few, on).drop("_hot").select(*rest.columns).unionByName(rest)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of shuffles that nothing reads any more: Spark deletes their files when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: Whether Spark deletes the shuffles of a query when it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
 
@@ -31,12 +33,36 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it back: survives lost executors, has no lineage."""
+    """Write df as Parquet into the shared folder and read it back: survives lost executors, has no lineage.
+
+    The shuffles of the write are deleted when it ends, as nothing else reads them.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/commstream-{uuid.uuid4().hex}"
-    (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    path, before = f"{shared_dir(spark)}/commstream-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, before)
     _MADE.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.materialized_at = path
+    return table
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def drop_tables(*tables: DataFrame) -> None:
+    """Delete tables that materialize() returned; nothing may read them any more, later lazy reads included."""
+    for table in tables:
+        _MADE.remove((table.sparkSession, table.materialized_at))
+        _delete(table.sparkSession, table.materialized_at)
 
 
 def drop_materialized() -> None:
@@ -44,8 +70,7 @@ def drop_materialized() -> None:
     while _MADE:
         spark, path = _MADE.pop()
         try:
-            hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+            _delete(spark, path)
         except Exception:  # the session is gone; the folder's owner clears it
             return
 

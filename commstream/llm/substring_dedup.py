@@ -24,8 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commstream.llm import textkit as tk
-from commstream.llm.skew import free_shuffles, hot_rows, join_by_key
-from commstream.storage import materialize
+from commstream.llm.skew import hot_rows, join_by_key
+from commstream.storage import drop_tables, materialize
 
 NULL_ID = -(1 << 63)
 GRAM = 8
@@ -201,24 +201,23 @@ def remove_repeats(docs: DataFrame, window: int = 20, id_col: str = "doc_id", te
     each other. Extra columns are ignored; an empty table gives an empty result.
     """
     texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).cast("string").alias("text"))
-    spark, by = docs.sparkSession, ["chunk", "check"]
+    by = ["chunk", "check"]
     listed = materialize(texts.mapInArrow(_anchors(window), "key long, anchors array<long>"))
     anchors = listed.select("key", F.explode("anchors").alias("anchor"))
     again = materialize(anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1"))
     own = join_by_key(anchors, again.select("anchor"), ["anchor"], _hot(again)).groupBy("key").agg(F.collect_set("anchor").alias("anchors"))
     chunks = materialize(texts.join(own, "key").mapInArrow(_may_repeat(window), "chunk long, check long, key long, pos int, hashes array<long>, checks array<long>"))
-    free_shuffles(spark)
+    drop_tables(listed, again)
     place = materialize(chunks.groupBy(*by).agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1"))
     placed = join_by_key(chunks, place.drop("n"), by, _hot(place), "left")
     copied = F.coalesce(F.struct("key", "pos") > F.col("ref"), F.lit(False))
     # A later copy of a chunk needs its place alone; the first one its windows.
     held = F.when(~copied, F.arrays_zip("hashes", "checks")).alias("windows")
     placed = materialize(placed.select(*by, "key", "pos", F.size("hashes").alias("n"), F.when(copied, F.col("ref")).alias("ref"), held))
-    free_shuffles(spark)
+    drop_tables(chunks, place)
     rows = placed.where("ref is null").select("key", "pos", F.posexplode("windows").alias("o", "w"))
     rows = rows.select(F.col("w.hashes").alias("h"), F.col("w.checks").alias("check"), "key", (F.col("pos") + F.col("o")).alias("pos"))
     place = materialize(rows.groupBy("h", "check").agg(F.min(F.struct("key", "pos")).alias("ref"), F.count("*").alias("n")).where("n > 1"))
-    free_shuffles(spark)
     windows = join_by_key(rows, place.drop("n"), ["h", "check"], _hot(place)).where(F.struct("key", "pos") > F.col("ref")).withColumn("n", F.lit(1))
     names = ["h", "check", "key", "pos", "ref", "n"]
     later = placed.where("ref is not null").withColumnRenamed("chunk", "h").select(*names).unionByName(windows.select(*names))

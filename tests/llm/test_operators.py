@@ -2,10 +2,11 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from commstream.llm import language_id, pii, quality, simhash, substring_dedup
+from commstream.llm import language_id, pii, quality, simhash, substring_dedup, textkit
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, key string, h string"
 
@@ -42,6 +43,38 @@ def test_substrings_against_brute_force(spark):
         assert (out[i]["n_words"], out[i]["kept"]) == (len(w), " ".join(x for j, x in enumerate(w) if j not in gone)), now
 
 
+def test_windows_need_both_hashes():
+    text = words(30, 1)
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = textkit.word_spans(data, np.array([0, len(data)]))
+    own = textkit.word_hashes(data, starts, ends)
+    first, second = int(textkit.run_hashes(own, 20)[3].view(np.int64)), int(substring_dedup._second(own, 20)[3].view(np.int64))
+    kind = pa.list_(pa.struct([("h", pa.int64()), ("check", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("ref", pa.int64()), ("at", pa.int32())]))
+    gone = []
+    for check in (second, second + 1):
+        row = {"h": first, "check": check, "pos": 3, "n": 1, "ref": 0, "at": 0}
+        batch = pa.RecordBatch.from_arrays([pa.array([5]), pa.array([text]), pa.array([[row]], kind)], names=["key", "text", "rows"])
+        gone.append(next(substring_dedup._remove(20, True)([batch])).column(2).to_pylist())
+    assert gone == [[20], [0]]
+
+
+def test_a_passage_of_most_documents_goes_from_all_but_the_first(spark):
+    shared = words(24, 1)
+    texts = [(i, f"{words(6, 10 + i)} {shared} {words(6, 9000 + i)}") for i in range(600)]
+    out = {r["doc_id"]: (r["n_words"], r["n_removed"]) for r in substring_dedup.remove_repeats(frame(spark, texts)).collect()}
+    seen, expected = set(), {}
+    for i, t in texts:
+        w, gone = t.split(), set()
+        for a in range(len(w) - 19):
+            if tuple(w[a : a + 20]) in seen:
+                gone.update(range(a, a + 20))
+            seen.add(tuple(w[a : a + 20]))
+        expected[i] = (len(w), len(gone))
+    assert out == expected and out[0][1] == 0 and min(n for i, (_, n) in out.items() if i) == 24
+    none = substring_dedup.remove_repeats(frame(spark, texts).where("doc_id < 0"))
+    assert none.columns == ["doc_id", "n_words", "n_removed", "n_factors", "spans", "kept"] and none.isEmpty()
+
+
 def test_factors_break_where_the_reference_does():
     assert substring_dedup.parse(np.array([0, 1, 5]), np.array([3, 3, 3]), np.array([7, 8, 2]), 20) == [(0, 21), (5, 20)]
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from commstream.config import Mode, NotSettled
@@ -65,6 +65,18 @@ def accept_roles(best: DataFrame) -> DataFrame:
     return best.join(at("cur", 0), "cur", "left_semi").join(at("cand", 1), "cand", "left_semi").select("v", "cur", "cand", "gain")
 
 
+def accept_sure(tried: DataFrame, degree: DataFrame, num: int = 1) -> DataFrame:
+    """Of moves accepted by role those that gain by themselves even after all better ones at their communities.
+
+    A move before takes degree from the community left or adds it to the one entered, which costs a later move
+    num * d times that degree at most; edges between movers only help it. So all that stay raise the quality together,
+    and the moves that are the best at both of their communities are among them.
+    """
+    earlier = lambda c: F.coalesce(F.sum("d").over(Window.partitionBy(c).orderBy(F.desc("gain"), "v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    known = tried.join(degree, "v").withColumn("out", earlier("cur")).withColumn("into", earlier("cand"))
+    return known.where(F.col("gain") > F.lit(num) * F.col("d") * (F.col("out") + F.col("into"))).select("v", "cur", "cand", "gain")
+
+
 def applied(mapping: DataFrame, moves: DataFrame) -> DataFrame:
     return mapping.join(moves.select("v", "cand"), "v", "left").select("v", F.coalesce("cand", "c").alias("c"))
 
@@ -94,8 +106,8 @@ def move(edges: DataFrame, adj: DataFrame, degree: DataFrame, mapping: DataFrame
     """Rounds of movement from mapping: the new mapping, all vertices that moved, and the number of rounds.
 
     Each round strictly raises the quality: disjoint moves by their gains; in throughput mode many vertices may
-    enter one community, and where that does not raise the exact quality the round is done over with disjoint
-    moves. rounds bounds them; strict raises NotSettled where moves are left then. full looks at every vertex again each round; else only at the frontier.
+    enter one community, and where that does not raise the exact quality the round is done over with those moves
+    that are sure to. rounds bounds them; strict raises NotSettled where moves are left then. full looks at every vertex again each round; else only at the frontier.
     """
     moved, n = mapping.select("v").limit(0), 0
     now = quality_numerator(edges, degree, mapping, m2, num, den) if mode is Mode.THROUGHPUT else 0
@@ -114,7 +126,7 @@ def move(edges: DataFrame, adj: DataFrame, degree: DataFrame, mapping: DataFrame
             if then > now:
                 chosen, after, now = tried, ahead, then
         if chosen is None:
-            chosen = materialize(accept_disjoint(best))
+            chosen = materialize(accept_sure(tried, degree, num) if mode is Mode.THROUGHPUT else accept_disjoint(best))
             after = materialize(applied(mapping, chosen))
             if mode is Mode.THROUGHPUT:
                 now = quality_numerator(edges, degree, after, m2, num, den)

@@ -9,7 +9,7 @@ from commstream.config import NotSettled
 from commstream.functions.gain import gain_numerator
 from commstream.operators.components import connected_components
 from commstream.operators.graph import community_degrees
-from commstream.operators.movement import accept_disjoint, accept_roles, applied, best_moves, quality_numerator
+from commstream.operators.movement import accept_roles, accept_sure, applied, best_moves, quality_numerator
 from commstream.storage import materialize
 
 
@@ -83,7 +83,7 @@ def merge(adj: DataFrame, subs: DataFrame, mapping: DataFrame, degree: DataFrame
     """Rounds of merging lone vertices until none is left to merge; the result and the vertices that merged.
 
     Many may enter one sub-community in a round; where that does not raise the exact quality, the round is done over
-    with disjoint moves. NotSettled where moves are left after rounds.
+    with those that are sure to. NotSettled where moves are left after rounds.
     """
     merged, n = subs.select("v").limit(0), 0
     edges = adj.where("v < u").select(F.col("v").alias("src"), F.col("u").alias("dst"), "w")
@@ -100,7 +100,7 @@ def merge(adj: DataFrame, subs: DataFrame, mapping: DataFrame, degree: DataFrame
         after = materialize(applied(as_mapping(subs), chosen))
         then = quality_numerator(edges, degree, after, m2, num, den)
         if then <= now:
-            chosen = materialize(accept_disjoint(best))
+            chosen = materialize(accept_sure(chosen, degree, num))
             after = materialize(applied(as_mapping(subs), chosen))
             then = quality_numerator(edges, degree, after, m2, num, den)
         subs, now = after.select("v", F.col("c").alias("s")), then

@@ -95,6 +95,15 @@ def _local_outcome(table: DataFrame, batch_id: int, config: RunConfig, began: fl
     return Outcome(state, q, told[1]["a"], told[1]["b"], time.time() - began, resolve(config))
 
 
+def _upper_rows(levels: list[Level], first: int, delta: DataFrame, present: DataFrame) -> DataFrame:
+    """Rows of local.TABLE of the levels from first on, and of what changed below: delta and the vertices of first."""
+    out = _rows(first, local.DELTA, delta.select("src", "dst", "w")).unionByName(_rows(first, local.VERTICES, present.select("v")))
+    for i, x in enumerate(levels[first:], first):
+        for kind, df in ((local.EDGES, x.edges.select("src", "dst", "w")), (local.MAPPING, x.mapping.select("v", "c")), (local.SUBS, x.subs.select("v", "s"))):
+            out = out.unionByName(_rows(i, kind, df))
+    return out
+
+
 def _level(edges: DataFrame, vertices: DataFrame, start: DataFrame, config: RunConfig) -> Level:
     adj, degree = materialize(graph.neighbours(edges)), materialize(graph.degrees(edges, vertices))
     m2 = graph.twice_total(edges)
@@ -160,7 +169,10 @@ def maintain(state: State, delta: DataFrame, batch_id: int, config: RunConfig |
     num, den, levels = config.gamma_num, config.gamma_den, []
     delta = materialize(graph.compress(delta))
     present = None
-    for old in state.levels:
+    for n, old in enumerate(state.levels):
+        if n and max(old.edges.count() + delta.count(), present.count()) <= config.local_edges:
+            levels += _levels_of(_in_one_task(_upper_rows(state.levels, n, delta, present), config, n, True))
+            break
         edges = graph.check_weights(materialize(graph.apply_delta(old.edges, delta)))
         ends = delta.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
         vertices = old.mapping.select("v").unionByName(ends).distinct() if present is None else present

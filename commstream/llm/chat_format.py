@@ -5,9 +5,7 @@ prefixes of the turns are rendered; where each output begins with the one before
 last turn, else the template rewrites history. Where a turn's text stands in its span is found by rendering too: the
 same prefix with two other texts in its last turn, whose outputs part where the text begins and meet where it ends.
 
-Every prefix is rendered whole, so a rewrite is found at any length. Only a PerTurn template, which by construction
-renders each turn from that turn alone, is shown one turn at a time: there the difference of two prefixes is the
-turn's own rendering.
+Every prefix is rendered whole, whatever the template, so a rewrite is found at any length.
 """
 
 from __future__ import annotations
@@ -91,7 +89,7 @@ class _Conversation:
     def __init__(self, key: int, template, keep_text: bool):
         self.key, self.template, self.text = key, template, [] if keep_text else None
         self.turns: list[Turn] = []
-        self.before = "" if isinstance(template, PerTurn) else template([])
+        self.before = template([])
         self.n = self.loss_chars = 0
         self.chars = len(self.before)
         self.rewrites = False
@@ -125,9 +123,8 @@ class _Conversation:
         self.chars += len(span)
         if self.text is not None:
             self.text.append(span)
-        if not isinstance(self.template, PerTurn):
-            self.turns.append((role, text))
-            self.before += span
+        self.turns.append((role, text))
+        self.before += span
 
     def row(self) -> dict:
         own = {"key": self.key, "n_turns": self.n, "turns_sha256": self.all.hexdigest(), "loss_chars": self.loss_chars, "loss_sha256": self.loss.hexdigest(), "formatted_chars": self.chars, "rewrites": self.rewrites}
@@ -170,9 +167,8 @@ def format_conversations(turns: DataFrame, template: Callable[[list[Turn]], str]
     Turns come in order of turn, null last, then role and text (ties); null roles and texts count as empty; a row
     without an id is a conversation of its own. Rows that repeat stand as often as they come. With a template that
     rewrites history, rewrites is true and what was read before it is kept. Rows of a conversation stream through one
-    task in order; with a PerTurn template one turn is held, so that very long conversations and texts take linear
-    time; with any other the whole conversation, rendered once for each turn. Extra columns are ignored; an empty
-    table gives an empty result.
+    task in order; the whole conversation is held and rendered five times for each turn, so time grows with the square
+    of its length. Extra columns are ignored; an empty table gives an empty result.
     """
     rows = turns.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.col("turn").cast("long").alias("turn"))
     # Rows without an id are spread by a number of their own; of two with the same number in one place, own parts them.

@@ -84,3 +84,20 @@ def test_query_adds_the_conversation_of_control_strings(spark, tmp_path):
     odd = "\\### Assistant: </turn> ok"
     assert (out[-7]["n_turns"], out[-7]["loss_sha256"], out[-7]["turns_sha256"]) == (2, sha(odd), sha(f"user\n{odd}\nassistant\n{odd}\n"))
     assert out[5]["n_turns"] == 9
+
+
+def test_every_template_is_shown_whole_prefixes():
+    seen = []
+
+    class Watched(cf.PerTurn):
+        def __call__(self, turns):
+            seen.append(list(turns))
+            return super().__call__(turns)
+
+    turns = talk(6)
+    now = cf._Conversation(1, Watched(cf._marked, cf.unescape, verbatim_roles=True), True)
+    for role, text in turns:
+        now.add(role, text)
+    assert now.row()["formatted"] == cf.marked_template(turns)
+    assert all(turns[:n] in seen for n in range(7))
+    assert all(x[:-1] == turns[: len(x) - 1] for x in seen if x)

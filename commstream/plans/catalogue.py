@@ -530,7 +530,7 @@ def batch_metrics_json(spark, d):
 @_query(_SPLIT + ", users AS (SELECT count(DISTINCT user_id) AS n FROM events), sums AS (SELECT batch_id, total_edges, CAST(sum(w) AS BIGINT) AS w FROM parts JOIN totals USING (batch_id) GROUP BY 1, 2) SELECT batch_id AS batch_idx, n_edges AS edges_added, total_edges, CAST((SELECT n FROM users) AS BIGINT) AS nodes_in_graph, 1 AS sound FROM totals WHERE batch_id >= 0", "arcs", "user")
 def replay(spark, d):
     """The replay of batches; times are left out, sound where the quality is one and both sides took time."""
-    rows = dynamic.replay(_parts(spark, d), fx.users(spark, d), _FAST)
+    rows = dynamic.replay(_parts(spark, d), fx.users(spark, d), _FAST, together=min(4, spark.sparkContext.defaultParallelism))
     sound = F.col("modularity").between(-0.5, 1) & (F.col("incremental_ms") > 0) & (F.col("scratch_ms") > 0) & (F.abs(F.col("speedup") - F.col("scratch_ms") / F.col("incremental_ms")) < 1e-6)
     return rows.select("batch_idx", "edges_added", "total_edges", "nodes_in_graph", sound.cast("int").alias("sound"))
 

@@ -7,7 +7,9 @@ this process is used if that is unset; on a cluster the setting must name shared
 from __future__ import annotations
 
 import atexit
+import contextlib
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,9 @@ from pyspark.sql import DataFrame, SparkSession
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _LOCAL: dict[str, str] = {}
 _MADE: list[tuple[SparkSession, str]] = []
+#: Threads that write in each session, and its own value of _CLEANUP.
+_WRITERS: dict[str, tuple[int, str | None]] = {}
+_LOCK = threading.Lock()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,21 +37,36 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
+@contextlib.contextmanager
+def _cleaning(spark: SparkSession):
+    """_CLEANUP on; the session's own value comes back when the last of its threads that write has ended."""
+    name = spark._jsparkSession.sessionUUID()
+    with _LOCK:
+        writers, before = _WRITERS.get(name) or (0, spark.conf.get(_CLEANUP, None))
+        _WRITERS[name] = writers + 1, before
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            writers, before = _WRITERS.pop(name)
+            if writers > 1:
+                _WRITERS[name] = writers - 1, before
+            elif before is None:
+                spark.conf.unset(_CLEANUP)
+            else:
+                spark.conf.set(_CLEANUP, before)
+
+
 def materialize(df: DataFrame, partitions: int | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: survives lost executors, has no lineage.
 
     The shuffles of the write are deleted when it ends, as nothing else reads them.
     """
     spark = df.sparkSession
-    path, before = f"{shared_dir(spark)}/commstream-{uuid.uuid4().hex}", spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
+    path = f"{shared_dir(spark)}/commstream-{uuid.uuid4().hex}"
+    with _cleaning(spark):
         (df if partitions is None else df.coalesce(partitions)).write.parquet(path)
-    finally:
-        if before is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, before)
     _MADE.append((spark, path))
     table = spark.read.schema(df.schema).parquet(path)
     table.materialized_at = path

@@ -1,13 +1,16 @@
 """One task and distributed rounds give the same levels."""
 
 import random
+import time
 
+import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from commstream.config import InvalidInput, Mode, NotSettled, RunConfig
-from commstream.operators import graph
-from commstream.plans import engine, quality, validate
+from commstream.operators import graph, local
+from commstream.plans import dynamic, engine, quality, validate
 
 
 def random_graph(spark, n, m, seed):
@@ -80,3 +83,23 @@ def test_errors_reach_the_caller(spark):
     state = engine.run(edges, vertices).state
     with pytest.raises(InvalidInput):
         engine.maintain(state, spark.createDataFrame([(0, 29, -99)], "src long, dst long, w long"), 0)
+
+
+def test_late_rounds_look_at_few_arcs():
+    """A random graph needs hundreds of rounds, of which most move few vertices."""
+    rng = np.random.default_rng(1)
+    edges = local.compress(pd.DataFrame({"src": rng.integers(0, 9000, 700_000), "dst": rng.integers(0, 9000, 700_000), "w": 1}))
+    alone = pd.DataFrame({"v": range(9000), "c": range(9000)})
+    began = time.process_time()
+    levels = local.run_levels(edges, alone, RunConfig(mode=Mode.THROUGHPUT), 1)
+    assert levels[0][4] > 100 and time.process_time() - began < 5
+
+
+def test_runs_of_a_replay_go_on_together(spark):
+    edges, vertices = random_graph(spark, 300, 900, 5)
+    name, parts = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", dynamic.split(edges, 0.8, 40, 3)
+    before, own = spark.conf.get(name, None), ["batch_idx", "edges_added", "total_edges", "nodes_in_graph", "iterations", "modularity"]
+    one, more = (dynamic.replay(parts, vertices, together=n) for n in (1, 3))
+    assert one.select(own).collect() == more.select(own).collect() and one.count() == 3
+    assert more.where("scratch_ms > 0 and abs(speedup - scratch_ms / incremental_ms) < 1e-6").count() == 3
+    assert spark.conf.get(name, None) == before

@@ -62,7 +62,7 @@ class Bpe:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut_special = regex.compile("|".join(regex.escape(x) for x in sorted(self.special, key=len, reverse=True)))
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
-        self.pieces = regex.compile(pattern)
+        self.pieces = regex.compile(pattern + "|\n")
         self.normalizer = library_normalizer(spec["normalizer"])
         self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True)
         letters = byte_letters()
@@ -81,7 +81,11 @@ class Bpe:
         self.filter[self._slot(keys)] = True
         self.letters = {v: k for k, v in letters.items()}
         self.text_of = {i: t for t, i in self.vocab.items()} | {i: t for t, i in self.special.items()}
-        self.number_of = [str(i) for i in range(max(self.text_of) + 1)]
+        top = max(self.text_of) + 1
+        #: By id: its decimal number and its text, and how long each is with the space after it.
+        self.number_of = np.array([str(i) for i in range(top)], object)
+        self.written_of = np.array([self.text_of.get(i, "") for i in range(top)], object)
+        self.number_size, self.written_size = (np.array([len(x) + 1 for x in y], np.int64) for y in (self.number_of, self.written_of))
         self.ids_of: dict[str, str] = {}
         self.decoded_of: dict[str, str] = {}
         self.recurring: set[str] = set()
@@ -100,8 +104,11 @@ class Bpe:
         rank[may[hit]] = self.ranks[at[hit]]
         return rank
 
-    def _merge_rows(self, ids: np.ndarray, lengths: np.ndarray) -> list[list[int]]:
-        """Merge words side by side: ids has a row for each word, padded with -1 to a power of two."""
+    def _merge_rows(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Merge words side by side: ids has a row for each word, padded with -1 to a power of two.
+
+        The tokens of one word after another, and how many each has.
+        """
         n, width = ids.shape
         # One more leaf after each row's last position stands for "no neighbour"; all arrays are addressed flat.
         ids = np.hstack([ids, np.full((n, 1), -1, np.int64)]).ravel()
@@ -151,8 +158,7 @@ class Bpe:
             if len(live) < len(top):
                 base, root, top = base[live], root[live], top[live]
         ids = ids.reshape(n, width + 1)
-        flat, cuts = ids[ids >= 0].tolist(), np.cumsum((ids >= 0).sum(1)).tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        return ids[ids >= 0], (ids >= 0).sum(1)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         """Merge one word of any length with its own tree."""
@@ -195,32 +201,42 @@ class Bpe:
                 update(left, none if rank is None else rank * width + left)
         return [x for x in ids if x >= 0]
 
-    def encode_words(self, words: list[bytes]) -> list[list[int]]:
-        """Token ids of each word, given as its bytes (at least one)."""
-        lengths = np.array([len(w) for w in words], np.int64)
-        out: list[list[int]] = [[]] * len(words)
-        low = 0
+    def _encode_spans(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of the words at starts of data (bytes, at least one each), one after another, and how many each has."""
+        parts, n_tokens, low = [], np.zeros(len(starts), np.int64), 0
         for width in BATCH_WIDTHS:
             mine = np.flatnonzero((lengths > low) & (lengths <= width))
             low = width
             for part in np.array_split(mine, len(mine) // 4096 + 1):
                 if not len(part):
                     continue
-                flat = np.frombuffer(b"".join([words[i] for i in part]), np.uint8)
                 size = lengths[part]
                 row = np.repeat(np.arange(len(part)), size)
-                col = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+                col = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
                 ids = np.full((len(part), width), -1, np.int64)
-                ids[row, col] = self.inner[flat]
-                ends = np.cumsum(size) - 1
-                ids[np.arange(len(part)), size - 1] = self.last[flat[ends]]
-                for i, tokens in zip(part.tolist(), self._merge_rows(ids, size), strict=True):
-                    out[i] = tokens
+                ids[row, col] = self.inner[data[starts[part][row] + col]]
+                ids[np.arange(len(part)), size - 1] = self.last[data[starts[part] + size - 1]]
+                tokens, n_tokens[part] = self._merge_rows(ids, size)
+                parts.append((part, tokens))
         for i in np.flatnonzero(lengths > low).tolist():
-            ids = self.inner[np.frombuffer(words[i], np.uint8)].tolist()
-            ids[-1] = int(self.last[words[i][-1]])
-            out[i] = self._merge_long(ids)
-        return out
+            own = data[starts[i] : starts[i] + lengths[i]]
+            ids = self.inner[own].tolist()
+            ids[-1] = int(self.last[own[-1]])
+            tokens = np.array(self._merge_long(ids), np.int64)
+            n_tokens[i] = len(tokens)
+            parts.append((np.array([i]), tokens))
+        first, out = np.cumsum(n_tokens) - n_tokens, np.empty(int(n_tokens.sum()), np.int64)
+        for part, tokens in parts:
+            n = n_tokens[part]
+            out[np.arange(len(tokens)) + np.repeat(first[part] - (np.cumsum(n) - n), n)] = tokens
+        return out, n_tokens
+
+    def encode_words(self, words: list[bytes]) -> list[list[int]]:
+        """Token ids of each word, given as its bytes (at least one)."""
+        lengths = np.array([len(w) for w in words], np.int64)
+        ids, n = self._encode_spans(np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths) - lengths, lengths)
+        flat, cuts = ids.tolist(), np.cumsum(n).tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
 
     def _chunks(self, text: str) -> list[str]:
         """Normalised runs without white space; the separators 0x1C-0x1F are not white space here."""
@@ -232,11 +248,18 @@ class Bpe:
         text = unicodedata.normalize("NFC", text).lower()
         return [x for x in regex.split("[\t-\r \x85\xa0]+", text) if x] if regex.search("[\x1c-\x1f]", text) else text.split()
 
-    def _pieces(self, chunk: str) -> list[str]:
-        """The words of a chunk."""
-        if BEYOND_PLAIN.search(chunk):
-            return [x for x, _ in self.splitter.pre_tokenize_str(chunk)]
-        return self.pieces.findall(chunk)
+    def _pieces(self, chunks: list[str]) -> tuple[list[str], list[str]]:
+        """The chunks, those of plain characters first, and the words of each followed by a line end."""
+        plain, beyond = chunks, []
+        if BEYOND_PLAIN.search("".join(chunks)):
+            beyond = [c for c in chunks if not c.isascii() and BEYOND_PLAIN.search(c)]
+            kept = set(beyond)
+            plain = [c for c in chunks if c not in kept]
+        found = self.pieces.findall("\n".join([*plain, ""]))
+        for c in beyond:
+            found += [x for x, _ in self.splitter.pre_tokenize_str(c)]
+            found.append("\n")
+        return plain + beyond, found
 
     def decode(self, ids: list[int]) -> str:
         """As the library's decode with special tokens kept, where the file names no decoder: tokens joined by spaces."""
@@ -253,20 +276,22 @@ class Bpe:
             keep = self.recurring | (chunks - new)
             ids_of = self.ids_of = {c: ids_of[c] for c in keep if c in ids_of}
             decoded_of = self.decoded_of = {c: decoded_of[c] for c in ids_of}
-        words, cut, order = [], [], list(new)
-        for c in order:
-            if c.isascii() and c.isalpha():
-                words.append(c.encode())
-            else:
-                words += [w.encode() for w in self._pieces(c)]
-            cut.append(len(words))
-        ids, at, text_of, number_of = self.encode_words(words), 0, self.text_of, self.number_of
-        for c, to in zip(order, cut, strict=True):
-            own = ids[at] if to == at + 1 else [x for w in ids[at:to] for x in w]
-            ids_of[c] = " ".join([number_of[x] for x in own])
-            decoded_of[c] = " ".join([text_of[x] for x in own])
-            self.blank |= not own
-            at = to
+        if not new:
+            return
+        order, found = self._pieces(list(new))
+        data = np.frombuffer("\t".join(found).encode(), np.uint8)
+        ends = np.append(np.flatnonzero(data == 9), len(data))
+        starts = np.concatenate([[0], ends[:-1] + 1])
+        line = data[starts] == 10
+        ids, n = self._encode_spans(data, starts[~line], (ends - starts)[~line])
+        # Tokens before each word, words before the end of each chunk.
+        before, words = np.concatenate([[0], np.cumsum(n)]), np.flatnonzero(line) - np.arange(len(order))
+        cut = np.concatenate([[0], before[words]])
+        self.blank |= bool((cut[1:] == cut[:-1]).any())
+        for table, texts, sizes in ((ids_of, self.number_of, self.number_size), (decoded_of, self.written_of, self.written_size)):
+            whole, at = " ".join(texts[ids].tolist()), np.concatenate([[0], np.cumsum(sizes[ids])])[cut]
+            low, high = at[:-1].tolist(), np.maximum(at[1:] - 1, at[:-1]).tolist()
+            table.update(zip(order, [whole[a:b] for a, b in zip(low, high, strict=True)], strict=True))
 
     def forget(self) -> None:
         """Empty the table of chunks; Spark keeps a worker process, and what it holds, for later stages."""

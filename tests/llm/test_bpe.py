@@ -55,3 +55,17 @@ def test_long_words_take_little_more_than_linear_time(vocabulary):
     began = time.time()
     vocabulary.encode_texts(["ab" * 500_000])
     assert time.time() - began < 120
+
+
+def test_new_chunks_are_cut_in_one_go():
+    """A search for each of them took most of the time of texts with many rare words."""
+    own, calls = bpe.Bpe(bpe.default_path()), []
+
+    class Counted:
+        def findall(self, text, pieces=own.pieces):
+            calls.append(text)
+            return pieces.findall(text)
+
+    own.pieces = Counted()
+    own.encode_texts([" ".join(f"a{i}." for i in range(1000))])
+    assert len(calls) == 1 and len(own.ids_of) == 1000

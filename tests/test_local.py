@@ -103,3 +103,23 @@ def test_runs_of_a_replay_go_on_together(spark):
     assert one.select(own).collect() == more.select(own).collect() and one.count() == 3
     assert more.where("scratch_ms > 0 and abs(speedup - scratch_ms / incremental_ms) < 1e-6").count() == 3
     assert spark.conf.get(name, None) == before
+
+
+def test_rounds_pass_over_vertices_that_cannot_gain(monkeypatch):
+    """Most vertices beside a mover stay where they are, and a bound tells it; the moves are those of a full search."""
+    rng = np.random.default_rng(1)
+    edges = local.compress(pd.DataFrame({"src": rng.integers(0, 9000, 700_000), "dst": rng.integers(0, 9000, 700_000), "w": rng.integers(1, 3, 700_000)}))
+    alone, looked, search = pd.DataFrame({"v": range(9000), "c": range(9000)}), [], local.best_moves
+
+    def counted(arcs, rows, *a, **k):
+        looked.append(int((arcs.start[rows + 1] - arcs.start[rows]).sum()))
+        return search(arcs, rows, *a, **k)
+
+    monkeypatch.setattr(local, "best_moves", counted)
+    few = local.run_levels(edges, alone, RunConfig(mode=Mode.THROUGHPUT), 1)[0]
+    n = sum(looked)
+    looked.clear()
+    monkeypatch.setattr(local.Ties, "hopeful", lambda self, rows, *a: rows)
+    every = local.run_levels(edges, alone, RunConfig(mode=Mode.THROUGHPUT), 1)[0]
+    assert few[4] == every[4] > 100 and (few[2] == every[2]).all() and (few[3] == every[3]).all()
+    assert 2 * n < sum(looked)
